@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from samewise.operators.shared import dropped, table_bytes, written
 
 #: A graph whose edge table has this many bytes at most is brought to one task of the cluster; both ways give the same labels.
-ONE_TASK_BYTES = 8 << 20
+ONE_TASK_BYTES = 4 << 20
 
 
 def _in_one_task(edges: DataFrame) -> DataFrame:
