@@ -2,7 +2,7 @@
 
 A word is the bag of its character 3- to 5-grams and itself, each a row of one hashed table; so an unseen
 misspelling shares most of its vectors with the word it disguises. A window of text is the average of its
-words; a linear softmax over it says how likely it is toxic. A document is as toxic as its worst window,
+words, missing and repeated ones counting as nothing; a linear softmax over it says how likely it is toxic. A document is as toxic as its worst window,
 since a few words in a long text are enough. Documents, not windows, are labelled, so training alternates:
 each toxic document is represented by the window the model likes best as such, each clean one by its worst
 and some others.
@@ -22,11 +22,13 @@ from samewise.llm.labelled import remainder, sampled
 from samewise.operators.shared import arrow_rows
 
 #: Documents of each label that the model is fitted on, at most.
-PER_CLASS = 2500
+PER_CLASS = 2000
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 12
-ROUNDS, EPOCHS = 4, 3
+ROUNDS, EPOCHS = 4, 2
 _EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
+#: Windows of a document that a round learns from, at most: of a toxic one, of a clean one.
+TOXIC_WINDOWS, CLEAN_WINDOWS = 8, 3
 
 
 def subwords(word: str) -> list[int]:
@@ -44,6 +46,14 @@ def windows(n: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + width, n)
 
 
+def repeated(ids: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Which words are among the ``width`` - 1 words before them."""
+    out = np.zeros(len(ids), bool)
+    for d in range(1, min(width, len(ids))):
+        out[d:] |= ids[d:] == ids[:-d]
+    return out
+
+
 class Model:
     """The table, the softmax and the calibration of a document's worst window."""
 
@@ -70,19 +80,26 @@ class Model:
             return self
         state = [np.full_like(self.table, 1e-4), np.full_like(self.soft, 1e-4), np.full_like(self.bias, 1e-4)]
         scores = None
+        clean = [np.where(repeated(d), -1, d) for d in docs]
         for turn in range(ROUNDS):
             chosen, want = [], []
-            for i, d in enumerate(docs):
+            for i, d in enumerate(clean):
                 b, e = spans[i]
                 if not len(d):
                     continue
-                if labels[i]:
-                    take = range(len(b)) if scores is None else np.flatnonzero(scores[i] >= max(scores[i].max() - 0.5, min(2.0, scores[i].max())))
+                most = TOXIC_WINDOWS if labels[i] else CLEAN_WINDOWS
+                if scores is None:
+                    take = r.permutation(len(b))[:most]
+                elif labels[i]:
+                    top = np.argsort(-scores[i], kind="stable")[:most]
+                    take = top[scores[i][top] >= max(scores[i].max() - 0.5, min(2.0, scores[i].max()))]
                 else:
-                    take = r.integers(0, len(b), min(len(b), 3)) if scores is None else {int(scores[i].argmax()), int(r.integers(len(b)))}
+                    take = {int(scores[i].argmax()), *r.integers(0, len(b), most - 1).tolist()}
                 for k in take:
-                    chosen.append(d[b[k] : e[k]])
-                    want.append(int(labels[i]))
+                    bag = d[b[k] : e[k]]
+                    if (bag >= 0).any():
+                        chosen.append(bag[bag >= 0])
+                        want.append(int(labels[i]))
             want = np.array(want)
             weigh = np.where(want == 1, 0.5 / max(1, want.sum()), 0.5 / max(1, (1 - want).sum())) * len(want)
             for _ in range(EPOCHS):
@@ -90,7 +107,7 @@ class Model:
                 for k in range(0, len(order), 64):
                     self._step([chosen[i] for i in order[k : k + 64]], want[order[k : k + 64]], weigh[order[k : k + 64]], flat, first, size, state)
             per_word = self._word_scores(flat, first, size)
-            scores = [self._windows(per_word[d], *spans[i]) for i, d in enumerate(docs)]
+            scores = [self._windows(np.where(d < 0, 0.0, per_word[d]), *spans[i]) for i, d in enumerate(clean)]
         top = np.array([s.max() for s in scores])
         self._calibrate(top, labels, shares)
         return self
@@ -101,28 +118,25 @@ class Model:
 
     def _windows(self, word_scores: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0.0], np.cumsum(word_scores, dtype=np.float64)])
-        return (sums[end] - sums[begin]) / np.maximum(1, end - begin) + float(self.bias[1] - self.bias[0])
+        return (sums[end] - sums[begin]) / WINDOW + float(self.bias[1] - self.bias[0])
 
     def _step(self, bags, want, weigh, flat, first, size, state, rate: float = 0.15) -> None:
         word = np.concatenate(bags)
-        owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        per = 1.0 / np.array([len(b) for b in bags])
         counts = size[word]
-        rows = np.repeat(first[word] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-        rows = flat[rows]
-        who = np.repeat(owner, counts)
-        part = np.repeat(per[owner] / counts, counts).astype(np.float32)
-        x = np.zeros((len(bags), DIM), np.float32)
-        np.add.at(x, who, self.table[rows] * part[:, None])
+        rows = flat[np.repeat(first[word] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())]
+        part = np.repeat((1.0 / WINDOW / counts).astype(np.float32), counts)
+        in_bag = np.add.reduceat(counts, np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]))
+        who = np.repeat(np.arange(len(bags)), in_bag)
+        x = np.add.reduceat(self.table[rows] * part[:, None], np.concatenate([[0], np.cumsum(in_bag)[:-1]]))
         z = x @ self.soft + self.bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(want)), want] -= 1
         p *= weigh[:, None]
         pull = p @ self.soft.T
-        kinds, at = np.unique(rows, return_inverse=True)
-        g = np.zeros((len(kinds), DIM), np.float32)
-        np.add.at(g, at, pull[who].astype(np.float32) * part[:, None])
+        order = np.argsort(rows, kind="stable")
+        kinds, at = np.unique(rows[order], return_index=True)
+        g = np.add.reduceat(pull.astype(np.float32)[who[order]] * part[order][:, None], at)
         state[0][kinds] += g * g
         self.table[kinds] -= rate * g / np.sqrt(state[0][kinds])
         for j, (value, grad) in enumerate(((self.soft, (x.T @ p) / len(want)), (self.bias, p.mean(0)))):
@@ -141,18 +155,25 @@ class Model:
 
     def scorer(self):
         """A function from a text to its score, with a memo of word scores."""
-        pull = (self.table @ (self.soft[:, 1] - self.soft[:, 0])).astype(np.float64)
-        memo: dict[str, float] = {}
+        pull = (self.table @ (self.soft[:, 1] - self.soft[:, 0])).astype(np.float64).tolist()
+        memo: dict[str, int] = {}
+        known = np.zeros(MEMO_ENTRIES)
 
         def score(text: str | None) -> float:
+            nonlocal known
             words = (text or "").split()
             if missing := set(words).difference(memo):
-                if len(memo) > MEMO_ENTRIES:
+                if len(memo) + len(missing) > MEMO_ENTRIES:
                     memo.clear()
                     missing = set(words)
+                    known = np.zeros(max(MEMO_ENTRIES, len(missing)))
                 for w in missing:
-                    memo[w] = float(pull[subwords(w)].mean())
-            s = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+                    rows = subwords(w)
+                    known[len(memo)] = sum([pull[k] for k in rows]) / len(rows)
+                    memo[w] = len(memo)
+            ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+            s = known[ids]
+            s[repeated(ids)] = 0.0
             top = self._windows(s, *windows(len(words))).max()
             return float(1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -50, 50))))
 
