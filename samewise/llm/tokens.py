@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Entries of a generation of the memo in each Python worker; one takes about 200 bytes.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 450_000
 #: Pieces longer than this are not kept in the memo.
 MEMO_PIECE_CHARS = 48
 
