@@ -3,14 +3,16 @@
 A document's shingles are ordered by how common they are, by a count-min sketch over all documents, then
 by hash. Two sets of sizes n and m with a Jaccard similarity of t share at least T = t / (1 + t) * (n + m)
 shingles, so they share one among the n - ceil(t * n) + 1 rarest of either: with the T - 1 longest
-inverted lists set aside, one occurrence in the short lists makes a candidate. The inverted index of the short lists is
-spread over the cluster by shingle; each of its tasks merges lists that two documents share. A candidate
+inverted lists set aside, one occurrence in the short lists makes a candidate. More precisely, all they share
+among those is what they share beyond the ceil(t * max(n, m)) - 1 others, so the number of short lists a pair
+is in has to reach T less that; for sets of about one size this is a tenth of the set. The inverted index of the short lists is
+spread over the cluster by shingle; each of its tasks counts the lists that two documents share, and the counts are summed. A candidate
 then is searched with its query's whole set: a heap merges short lists over the candidates, and those that
 can still reach T are probed for in the long lists by binary search.
 
-Short lists of over ``PAIRED`` documents are not paired at once. Their members are first tested against one of
-them; then those outside the largest class of a list are tested against its other classes, in bounded
-rounds, until every pair of the list is tested or known to be of one class. So a group of thousands of near
+Short lists of over ``PAIRED`` documents are not paired at once, nor counted. Their members are first tested against one of
+them; then some of those outside the largest class of a list are tested against its other classes, more of them in
+each of several bounded rounds, until every pair of the list is tested or known to be of one class. So a group of thousands of near
 copies costs a few tests a document, and no link between classes is lost.
 """
 
@@ -202,15 +204,12 @@ def _merge_lists(hundredths: int):
         fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
         return sig[fresh], size[fresh], key[fresh]
 
-    def out(a, b, key, size):
+    def out(key, a, b, size, need):
         import pyarrow as pa
 
-        none = key is None
         n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()) if none else pa.array(key.astype("<u8").view("<i8")), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.nulls(n, pa.int64()) if none else pa.array(size)],
-            ["list", "a", "b", "size"],
-        )
+        cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view("<i8") if x.dtype == np.uint64 else x.astype("<i8")) for x in (key, a, b, size, need)]
+        return pa.RecordBatch.from_arrays(cols, ["list", "a", "b", "size", "need"])
 
     def merge(payloads):
         sig, size, key = lists(payloads)
@@ -220,22 +219,24 @@ def _merge_lists(hundredths: int):
         many = np.repeat(np.diff(edge), np.diff(edge))
         big = many > PAIRED
         if big.any():
-            yield out(sig[big], None, key[big], size[big])
+            yield out(key[big], sig[big], None, size[big], None)
         sig, size, key = sig[~big], size[~big], key[~big]
         found = []
-        for d in range(1, PAIRED):
-            if d >= len(sig):
-                break
+        for d in range(1, min(PAIRED, len(sig))):
             hit = np.flatnonzero((key[d:] == key[:-d]) & (100 * size[:-d] >= hundredths * size[d:]))
             if len(hit):
                 x, y = sig[hit], sig[hit + d]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                n, m = size[hit], size[hit + d]  # n <= m
+                need = overlap_needed(n, m, hundredths) - (-(-hundredths * m // 100) - 1)
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), need], 1))
         if found:
             pairs = np.concatenate(found)
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             new = np.ones(len(pairs), bool)
-            new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-            yield out(pairs[new, 0], pairs[new, 1], None, None)
+            new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
+            head = np.flatnonzero(new)
+            shared = np.diff(np.concatenate([head, [len(pairs)]]))
+            yield out(None, pairs[head, 0], pairs[head, 1], shared, pairs[head, 2])
 
     def run(batches):
         now, held = None, []
@@ -329,7 +330,7 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
             pivots = open_.where("sig = least")
         else:
             outside = F.col("m") - F.col("top.n")
-            share = F.lit(float(ROUND_TESTS)) / (F.col("m") * outside)
+            share = F.least(F.lit(float(4 ** min(step, 20))), F.lit(float(ROUND_TESTS)) / F.col("m")) / outside
             draw = F.shiftrightunsigned(F.xxhash64("sig", F.lit(step)), 11) / F.lit(float(1 << 53))
             first = open_.where("label <> top.label").groupBy("list").agg(F.min("sig").alias("next"))
             pivots = open_.join(first, "list").where("label <> top.label").where((draw < share) | (F.col("sig") == F.col("next")))
@@ -353,8 +354,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     postings = _short_lists(docs, _sketch(docs), buckets, hundredths).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long"), "found")
-    pairs = written(found.where("list is null").select("a", "b").distinct(), "pairs")
+    found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
+    shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
+    pairs = written(shared.where("size >= need").select("a", "b"), "pairs")
     big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(big.select("sig")).distinct()
     ids = written(groups.join(wanted, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
