@@ -28,14 +28,17 @@ def rendered(name: str, kind: str) -> Column:
     return text
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return run(c)
 
 
 def normalised(c: Column) -> Column:
     """NFKC, lower case, collapsed and trimmed white space. Only texts beyond ASCII go to Python."""
-    return squish(F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)))
+    return squish(F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)))
 
 
 def _jaro(a: str, b: str) -> float:
