@@ -312,7 +312,7 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
     # sizes that can be similar enough, and as many long short lists in common as the pair needs; pairs that
     # share other short lists, too, have been searched before
     needed = _needed("p_size", "size", hundredths)
-    compatible = F.expr(f"100 * least(p_size, size) >= {hundredths} * greatest(p_size, size) and least(p_lists, lists) >= {needed}")
+    compatible = F.expr(f"100 * least(p_size, size) >= {hundredths} * greatest(p_size, size) and least(p_lists, lists) >= {needed} and size(array_intersect(p_ids, ids)) >= {needed}")
 
     def tested(pivots: DataFrame, members: DataFrame) -> DataFrame:
         both = members.join(pivots, "list").where((F.col("label") != F.col("p_label")) & compatible)
@@ -321,7 +321,7 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
 
     def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         c = components(links)
-        return members.join(c, members.sig == c.node, "left").select("list", "sig", "size", "lists", F.coalesce("component", "sig").alias("label"))
+        return members.join(c, members.sig == c.node, "left").select("list", "sig", "size", "lists", "ids", F.coalesce("component", "sig").alias("label"))
 
     members, step = big, 0
     while True:
@@ -342,9 +342,9 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
             draw = F.shiftrightunsigned(F.xxhash64("sig", F.lit(step)), 11) / F.lit(float(1 << 53))
             first = open_.where("label <> top.label").groupBy("list").agg(F.min("sig").alias("next"))
             pivots = open_.join(first, "list").where("label <> top.label").where((draw < share) | (F.col("sig") == F.col("next")))
-        pivots = written(pivots.select("list", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"), F.col("lists").alias("p_lists"), F.col("label").alias("p_label")), "pivots")
+        pivots = written(pivots.select("list", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"), F.col("lists").alias("p_lists"), F.col("ids").alias("p_ids"), F.col("label").alias("p_label")), "pivots")
         links = written(links.unionByName(tested(pivots, members)), "links")
-        members = members.join(pivots.select("list", F.col("p_sig").alias("sig")), ["list", "sig"], "left_anti").select("list", "sig", "size", "lists")
+        members = members.join(pivots.select("list", F.col("p_sig").alias("sig")), ["list", "sig"], "left_anti").select("list", "sig", "size", "lists", "ids")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = HUNDREDTHS) -> DataFrame:
@@ -365,9 +365,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
     shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
     big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
-    in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists")), "in_big")
-    both = [small(in_big.select(F.col("sig").alias(x), F.col("lists").alias(f"{x}_lists")), in_big) for x in ("a", "b")]
-    shared = shared.where("size >= need").union(shared.where("size < need").join(both[0], "a").join(both[1], "b").where("size + least(a_lists, b_lists) >= need").select("a", "b", "size", "need"))
+    in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists"), F.collect_list("list").alias("ids")), "in_big")
+    both = [small(in_big.select(F.col("sig").alias(x), F.col("ids").alias(f"{x}_ids")), in_big) for x in ("a", "b")]
+    shared = shared.where("size >= need").union(shared.where("size < need").join(both[0], "a").join(both[1], "b").where("`size` + size(array_intersect(a_ids, b_ids)) >= need").select("a", "b", "size", "need"))
     pairs = written(shared.select("a", "b"), "pairs")
     big = big.join(small(in_big), "sig")
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(big.select("sig")).distinct()
