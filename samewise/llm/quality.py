@@ -179,7 +179,7 @@ def _summed(rows: DataFrame, make, size: int) -> np.ndarray:
 def fit(described_docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Model:
     """A model of all rows of ``labels`` (0 or 1, null: not used) that a described document matches; without any it scores 0.5."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("double").alias("label"))
-    rows = written(described_docs.join(known, id_col).select("stats", "label"), "learned")
+    rows = written(described_docs.select(id_col, "stats").join(known, id_col).select("stats", "label"), "learned")
     d = len(NAMES)
     s = _summed(rows, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * d)
     n = max(1.0, s[0])
