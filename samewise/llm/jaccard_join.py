@@ -13,7 +13,9 @@ can still reach T are probed for in the long lists by binary search.
 Short lists of over ``PAIRED`` documents are not paired at once, nor counted. Their members are first tested against one of
 them; then some of those outside the largest class of a list are tested against its other classes, more of them in
 each of several bounded rounds, until every pair of the list is tested or known to be of one class. So a group of thousands of near
-copies costs a few tests a document, and no link between classes is lost.
+copies costs a few tests a document, and no link between classes is lost. Before a test, a pair is met once, in the first list
+that both are open in, and a bitmap of every set bounds how much two sets differ: each shingle flips one of its bits, so bits that
+differ are at most as many as shingles that only one set has.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ CHUNK = 256
 ROUND_TESTS = 200_000
 #: Postings that a task gathers before it writes them out.
 UNIT = 1 << 20
+#: Words of 64 bits in the bitmap of a set.
+BITMAP_WORDS = 8
 
 
 def overlap_needed(n: int, m, hundredths: int = HUNDREDTHS):
@@ -271,6 +275,27 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "sig long, shingles binary")
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS signed words; a bit is set if an odd number of the hashes fall on it."""
+    bits = np.bincount((hashes % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(bits.astype("u1"), bitorder="little").view("<i8")
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(sig, bits) for a table of (sig, shingles)."""
+    names = [f"w{k}" for k in range(BITMAP_WORDS)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            words = np.array([bitmap(np.frombuffer(x.as_py(), "<u8")) for x in b.column(1)], "<i8").reshape(-1, BITMAP_WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITMAP_WORDS))], ["sig", *names])
+
+    wide = sets.select("sig", "shingles").mapInArrow(run, "sig long, " + ", ".join(f"{n} long" for n in names))
+    return wide.select("sig", F.struct(*names).alias("bits"))
+
+
 def _search(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. A query goes with up to about CHUNK candidates to a task."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
@@ -312,16 +337,22 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
     # sizes that can be similar enough, and as many long short lists in common as the pair needs; pairs that
     # share other short lists, too, have been searched before
     needed = _needed("p_size", "size", hundredths)
-    compatible = F.expr(f"100 * least(p_size, size) >= {hundredths} * greatest(p_size, size) and least(p_lists, lists) >= {needed} and size(array_intersect(p_ids, ids)) >= {needed}")
+    differ = " + ".join(f"bit_count(p_bits.w{k} ^ bits.w{k})" for k in range(BITMAP_WORDS))
+    compatible = F.expr(
+        f"100 * least(p_size, size) >= {hundredths} * greatest(p_size, size) and least(p_lists, lists) >= {needed}"
+        f" and {differ} <= p_size + size - 2 * ceil({hundredths} * (p_size + size) / {100 + hundredths})"
+        f" and size(array_intersect(p_ids, ids)) >= {needed} and list = array_min(array_intersect(p_open, ids))"
+    )
 
     def tested(pivots: DataFrame, members: DataFrame) -> DataFrame:
+        # a member that has left a list was a pivot there and met the others of it then
         both = members.join(pivots, "list").where((F.col("label") != F.col("p_label")) & compatible)
-        pairs = both.select(F.col("p_sig").alias("a"), F.col("sig").alias("b")).distinct()
+        pairs = both.select(F.col("p_sig").alias("a"), F.col("sig").alias("b"))
         return _search(written(pairs, "tests"), sets, hundredths)
 
     def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
         c = components(links)
-        return members.join(c, members.sig == c.node, "left").select("list", "sig", "size", "lists", "ids", F.coalesce("component", "sig").alias("label"))
+        return members.join(c, members.sig == c.node, "left").select("list", "sig", "size", "lists", "ids", "bits", F.coalesce("component", "sig").alias("label"))
 
     members, step = big, 0
     while True:
@@ -342,9 +373,12 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
             draw = F.shiftrightunsigned(F.xxhash64("sig", F.lit(step)), 11) / F.lit(float(1 << 53))
             first = open_.where("label <> top.label").groupBy("list").agg(F.min("sig").alias("next"))
             pivots = open_.join(first, "list").where("label <> top.label").where((draw < share) | (F.col("sig") == F.col("next")))
-        pivots = written(pivots.select("list", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"), F.col("lists").alias("p_lists"), F.col("ids").alias("p_ids"), F.col("label").alias("p_label")), "pivots")
-        links = written(links.unionByName(tested(pivots, members)), "links")
-        members = members.join(pivots.select("list", F.col("p_sig").alias("sig")), ["list", "sig"], "left_anti").select("list", "sig", "size", "lists", "ids")
+        drawn = written(pivots.select("list", "sig"), "drawn")
+        lists_of = drawn.groupBy("sig").agg(F.collect_list("list").alias("p_open"))
+        pivots = members.join(small(drawn), ["list", "sig"]).join(small(lists_of, drawn), "sig")
+        pivots = written(pivots.select("list", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"), F.col("lists").alias("p_lists"), F.col("ids").alias("p_ids"), F.col("bits").alias("p_bits"), F.col("label").alias("p_label"), "p_open"), "pivots")
+        links = written(links.unionByName(tested(small(pivots), members)), "links")
+        members = members.join(small(drawn), ["list", "sig"], "left_anti").select("list", "sig", "size", "lists", "ids", "bits")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = HUNDREDTHS) -> DataFrame:
@@ -375,7 +409,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(_sets(docs, small(ids)), "sets")
     links = written(_search(pairs, sets, hundredths), "links")
     if not big.isEmpty():
-        links = _long_lists(big, links, sets, hundredths)
+        bits = written(_bitmaps(sets), "bitmaps")
+        links = _long_lists(big.join(small(bits), "sig"), links, sets, hundredths)
     joined = components(links).withColumnRenamed("node", "sig")
     known = written(groups.join(joined, "sig", "left").where("copies > 1 or component is not null").select("sig", "rep", F.coalesce("component", "sig").alias("component")), "classes")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
