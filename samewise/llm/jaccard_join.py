@@ -301,7 +301,8 @@ def _search(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunked = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     members = chunked.join(sets, chunked.b == sets.sig).select("a", "chunk", "b", "shingles")
-    heads = chunked.select("a", "chunk").distinct()
+    # a chunk that no candidate fell to has its query only, and finds nothing
+    heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     heads = heads.join(sets, heads.a == sets.sig).select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
     rows = members.unionByName(heads).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
