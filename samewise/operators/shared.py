@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table of this many bytes at most may be broadcast; its size is read from its files first.
 BROADCAST_BYTES = 16 << 20
+#: A batch that goes to Python ends with the row that brings it to so many bytes.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,10 +53,11 @@ def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of the batches that go to Python, for plans that send whole texts there."""
+    """Bounds the rows and the bytes of the batches that go to Python, for plans that send whole texts there."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ranked(df: DataFrame, keys: list, rank: str) -> DataFrame:
