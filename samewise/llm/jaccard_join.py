@@ -41,7 +41,9 @@ CHUNK = 256
 #: Tests that a list may ask for in a round.
 ROUND_TESTS = 200_000
 #: Postings that a task gathers before it writes them out.
-UNIT = 1 << 20
+UNIT = 1 << 19
+#: Sets that a task remembers, so that copies in other units of it add nothing.
+REMEMBERED = 1 << 20
 #: Words of 64 bits in the bitmap of a set.
 BITMAP_WORDS = 8
 
@@ -181,7 +183,9 @@ def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredt
                 held += keep
             if held >= UNIT:
                 yield unit(sigs, sizes, prefixes)
-                seen, sigs, sizes, prefixes, held = set(), [], [], [], 0
+                sigs, sizes, prefixes, held = [], [], [], 0
+                if len(seen) >= REMEMBERED:
+                    seen = set()
         if held:
             yield unit(sigs, sizes, prefixes)
 
@@ -396,7 +400,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(_signed(docs), "signed")
     groups = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    postings = _short_lists(docs, _sketch(docs), buckets, hundredths).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    postings = _short_lists(docs, _sketch(docs), buckets, hundredths).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
     shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
     big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
