@@ -350,26 +350,25 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
     )
 
     def tested(pivots: DataFrame, members: DataFrame) -> DataFrame:
-        # a member that has left a list was a pivot there and met the others of it then
-        both = members.join(pivots, "list").where((F.col("label") != F.col("p_label")) & compatible)
+        # a set that has left a list was a pivot there and met the others of it then
+        both = members.withColumn("list", F.explode("open")).join(pivots, "list").where((F.col("label") != F.col("p_label")) & compatible)
         pairs = both.select(F.col("p_sig").alias("a"), F.col("sig").alias("b"))
         return _search(written(pairs, "tests"), sets, hundredths)
 
-    def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-        c = components(links)
-        return members.join(c, members.sig == c.node, "left").select("list", "sig", "size", "lists", "ids", "bits", F.coalesce("component", "sig").alias("label"))
-
-    members, step = big, 0
+    # one row a set, with the long lists that it still is open in
+    members, step = big.withColumn("open", F.col("ids")), 0
     while True:
         step += 1
-        members = written(labelled(members, links), "lists")
-        classes = members.groupBy("list", "label").agg(F.count("*").alias("n"), F.min("sig").alias("sig"))
+        c = components(links)
+        members = members.join(c, members.sig == c.node, "left").select("sig", "size", "lists", "ids", "bits", "open", F.coalesce("component", "sig").alias("label"))
+        members = written(members, "lists")
+        rows = members.select("sig", "label", F.explode("open").alias("list"))
+        classes = rows.groupBy("list", "label").agg(F.count("*").alias("n"), F.min("sig").alias("sig"))
         lists = classes.groupBy("list").agg(F.count("*").alias("classes"), F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"), F.min("sig").alias("least"))
         lists = written(lists.where("classes > 1"), "open")
         if lists.isEmpty():
             return links
-        members = members.join(small(lists.select("list"), lists), "list", "left_semi")
-        open_ = members.join(small(lists), "list")
+        open_ = rows.join(small(lists), "list")
         if step == 1:
             pivots = open_.where("sig = least")
         else:
@@ -380,10 +379,11 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
             pivots = open_.join(first, "list").where("label <> top.label").where((draw < share) | (F.col("sig") == F.col("next")))
         drawn = written(pivots.select("list", "sig"), "drawn")
         lists_of = drawn.groupBy("sig").agg(F.collect_list("list").alias("p_open"))
-        pivots = members.join(small(drawn), ["list", "sig"]).join(small(lists_of, drawn), "sig")
+        pivots = members.join(small(lists_of, drawn), "sig").withColumn("list", F.explode("p_open"))
         pivots = written(pivots.select("list", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"), F.col("lists").alias("p_lists"), F.col("ids").alias("p_ids"), F.col("bits").alias("p_bits"), F.col("label").alias("p_label"), "p_open"), "pivots")
         links = written(links.unionByName(tested(small(pivots), members)), "links")
-        members = members.join(small(drawn), ["list", "sig"], "left_anti").select("list", "sig", "size", "lists", "ids", "bits")
+        still = rows.join(small(lists.select("list"), lists), "list", "left_semi").join(small(drawn), ["list", "sig"], "left_anti")
+        members = members.drop("open").join(still.groupBy("sig").agg(F.collect_list("list").alias("open")), "sig")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = HUNDREDTHS) -> DataFrame:
@@ -404,18 +404,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
     shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
     big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
-    in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists"), F.collect_list("list").alias("ids")), "in_big")
+    in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists"), F.collect_list("list").alias("ids"), F.min("size").alias("size")), "in_big")
     both = [small(in_big.select(F.col("sig").alias(x), F.col("ids").alias(f"{x}_ids")), in_big) for x in ("a", "b")]
     shared = shared.where("size >= need").union(shared.where("size < need").join(both[0], "a").join(both[1], "b").where("`size` + size(array_intersect(a_ids, b_ids)) >= need").select("a", "b", "size", "need"))
     pairs = written(shared.select("a", "b"), "pairs")
-    big = big.join(small(in_big), "sig")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(big.select("sig")).distinct()
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(in_big.select("sig")).distinct()
     ids = written(groups.join(wanted, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
     sets = written(_sets(docs, small(ids)), "sets")
     links = written(_search(pairs, sets, hundredths), "links")
-    if not big.isEmpty():
+    if not in_big.isEmpty():
         bits = written(_bitmaps(sets), "bitmaps")
-        links = _long_lists(big.join(small(bits), "sig"), links, sets, hundredths)
+        links = _long_lists(in_big.join(small(bits), "sig"), links, sets, hundredths)
     joined = components(links).withColumnRenamed("node", "sig")
     known = written(groups.join(joined, "sig", "left").where("copies > 1 or component is not null").select("sig", "rep", F.coalesce("component", "sig").alias("component")), "classes")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
