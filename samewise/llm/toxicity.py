@@ -11,6 +11,7 @@ and some others.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,10 +69,15 @@ class Model:
         """labels: 1 for toxic. shares: how many documents of the corpus a document stands for."""
         r = np.random.default_rng(seed)
         words: dict[str, int] = {}
-        docs = [np.array([words.setdefault(w, len(words)) for w in (t or "").split()], np.int64) for t in texts]
-        bags = [subwords(w) for w in words]
-        size = np.array([len(b) for b in bags] or [0])
-        flat = np.concatenate([np.array(b) for b in bags]) if bags else np.empty(0, np.int64)
+        docs = [np.array([words.setdefault(w, len(words)) for w in (t or "").split()], np.int32) for t in texts]
+        rows, sizes = array("i"), array("i")  # packed: the bags of all words are the most that the driver holds here
+        for w in words:
+            bag = subwords(w)
+            rows.extend(bag)
+            sizes.append(len(bag))
+        words.clear()
+        flat, size = np.array(rows, np.int32), np.array(sizes if len(sizes) else [0], np.int64)
+        del rows, sizes
         first = np.concatenate([[0], np.cumsum(size)])
         spans = [windows(len(d)) for d in docs]
         if labels.min(initial=1) == labels.max(initial=0):
