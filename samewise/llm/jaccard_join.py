@@ -355,6 +355,9 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
         pairs = both.select(F.col("p_sig").alias("a"), F.col("sig").alias("b"))
         return _search(written(pairs, "tests"), sets, hundredths)
 
+    def opened(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("sig").agg(F.collect_list("list").alias("open"))
+
     # one row a set, with the long lists that it still is open in
     members, step = big.withColumn("open", F.col("ids")), 0
     while True:
@@ -381,9 +384,11 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
         lists_of = drawn.groupBy("sig").agg(F.collect_list("list").alias("p_open"))
         pivots = members.join(small(lists_of, drawn), "sig").withColumn("list", F.explode("p_open"))
         pivots = written(pivots.select("list", F.col("sig").alias("p_sig"), F.col("size").alias("p_size"), F.col("lists").alias("p_lists"), F.col("ids").alias("p_ids"), F.col("bits").alias("p_bits"), F.col("label").alias("p_label"), "p_open"), "pivots")
-        links = written(links.unionByName(tested(small(pivots), members)), "links")
-        still = rows.join(small(lists.select("list"), lists), "list", "left_semi").join(small(drawn), ["list", "sig"], "left_anti")
-        members = members.drop("open").join(still.groupBy("sig").agg(F.collect_list("list").alias("open")), "sig")
+        # lists that are of one class by now have no pivots, and their members need not be spread over them again
+        still = rows.join(small(lists.select("list"), lists), "list", "left_semi")
+        facts = members.drop("open")
+        links = written(links.unionByName(tested(small(pivots), facts.join(opened(still), "sig"))), "links")
+        members = facts.join(opened(still.join(small(drawn), ["list", "sig"], "left_anti")), "sig")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = HUNDREDTHS) -> DataFrame:
