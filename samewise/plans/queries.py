@@ -12,6 +12,7 @@ from samewise.operators import clusterers as C
 from samewise.operators.components import components
 from samewise.operators.evaluation import evaluate
 from samewise.operators.records import filled_labels, modal_length, pairs_to_clusters, parsed_embeddings, select_fields, standardised, truth_from_any
+from samewise.operators.shared import written
 from samewise.operators.vectors import neighbours, svd_scores, tfidf
 from samewise.plans.resolve import unified_pipeline
 
@@ -70,6 +71,10 @@ def edit_distances(spark, d):
     return C.edit_pairs(p)
 
 
+def edit_distances_whole(spark, d):
+    return C.edit_pairs(_parts(spark, d))
+
+
 def string_distances(spark, d):
     p = _t(spark, d, "part").select("p_name", "p_type").distinct()
     a, b = F.col("p_name"), F.lower("p_type")
@@ -90,8 +95,9 @@ def sorted_neighbourhood_clusters(spark, d):
 
 
 def spanning_tree_clusters(spark, d):
-    p = _parts(spark, d).groupBy("text").agg(F.min("rid").alias("rid"))
-    return C.mst_clusters(p)
+    rows = written(_parts(spark, d), "parts")
+    p = rows.groupBy("text").agg(F.min("rid").alias("rid"))
+    return rows.join(p.join(C.mst_clusters(p), "rid").select("text", "label"), "text").select("rid", "label")
 
 
 def kmeans_text(spark, d):
@@ -99,8 +105,7 @@ def kmeans_text(spark, d):
 
 
 def louvain_text(spark, d):
-    p = _parts(spark, d).groupBy("text").agg(F.min("rid").alias("rid"))
-    return C.louvain_clusters(p, 10, 0.0, 20)
+    return C.louvain_clusters(_parts(spark, d))
 
 
 def svd_text(spark, d):
@@ -127,8 +132,8 @@ def graph_components(spark, d):
 
 
 def resolve(spark, d):
-    part = _t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.min("p_size").alias("label")).withColumnRenamed("p_name", "name")
-    return unified_pipeline(spark, part.select("id", "name"), part.select("id", "label"), k_clusters=5, svd_dim=10).performance
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("label"))
+    return unified_pipeline(spark, part.select("id", "name"), part.select("id", "label")).performance
 
 
 def _closure(edges: str) -> str:
@@ -164,7 +169,7 @@ SELECT o_orderkey, CAST(coalesce(c, (SELECT max(c) FROM t) + row_number() OVER (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [text_build, prep, truth_pairs, truth_one_column, truth_labels, embedding_parse, embedding_neighbours, embedding_components, term_weights, edit_distances, string_distances, all_distances, sorted_neighbourhood, sorted_neighbourhood_clusters, spanning_tree_clusters, kmeans_text, louvain_text, svd_text, evaluation, singleton_fill, modal_size, graph_components, resolve]
+    found = [text_build, prep, truth_pairs, truth_one_column, truth_labels, embedding_parse, embedding_neighbours, embedding_components, term_weights, edit_distances, edit_distances_whole, string_distances, all_distances, sorted_neighbourhood, sorted_neighbourhood_clusters, spanning_tree_clusters, kmeans_text, louvain_text, svd_text, evaluation, singleton_fill, modal_size, graph_components, resolve]
     return {f.__name__: f for f in found}
 
 
