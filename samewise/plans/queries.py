@@ -131,6 +131,11 @@ def graph_components(spark, d):
     return components(s)
 
 
+def graph_components_whole(spark, d):
+    s = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+    return components(s)
+
+
 def resolve(spark, d):
     part = _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("label"))
     return unified_pipeline(spark, part.select("id", "name"), part.select("id", "label")).performance
@@ -169,7 +174,7 @@ SELECT o_orderkey, CAST(coalesce(c, (SELECT max(c) FROM t) + row_number() OVER (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [text_build, prep, truth_pairs, truth_one_column, truth_labels, embedding_parse, embedding_neighbours, embedding_components, term_weights, edit_distances, edit_distances_whole, string_distances, all_distances, sorted_neighbourhood, sorted_neighbourhood_clusters, spanning_tree_clusters, kmeans_text, louvain_text, svd_text, evaluation, singleton_fill, modal_size, graph_components, resolve]
+    found = [text_build, prep, truth_pairs, truth_one_column, truth_labels, embedding_parse, embedding_neighbours, embedding_components, term_weights, edit_distances, edit_distances_whole, string_distances, all_distances, sorted_neighbourhood, sorted_neighbourhood_clusters, spanning_tree_clusters, kmeans_text, louvain_text, svd_text, evaluation, singleton_fill, modal_size, graph_components, graph_components_whole, resolve]
     return {f.__name__: f for f in found}
 
 

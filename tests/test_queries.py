@@ -20,3 +20,25 @@ def test_repeated_records_are_kept(spark, tmp_path, monkeypatch):
     whole = Q.unified_pipeline
     monkeypatch.setattr(Q, "unified_pipeline", lambda *a, **k: seen.append((a[1].count(), k)) or whole(*a, **k))
     assert {r.Method for r in Q.resolve(spark, d).collect()} >= {"kmeans", "louvain"} and seen == [(8, {})]
+
+
+def test_components_of_all_edges(spark, tmp_path, monkeypatch):
+    edges = [(i % 7, 10 * (i % 7) + i % 3) for i in range(60)] + [(20, 5), (20, 1), (21, 90), (None, 91)]
+    line = spark.createDataFrame([(a, b, float(i % 50), 0.01) for i, (a, b) in enumerate(edges)], "l_suppkey long, l_partkey long, l_quantity double, l_discount double")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            x, y = root(a), root(b + 1_000_000)
+            up[max(x, y)] = min(x, y)
+    want = {x: root(x) for x in up}
+    d = folder(tmp_path, lineitem=line)
+    assert {r.node: r.component for r in Q.graph_components_whole(spark, d).collect()} == want
+    rounds = Q.components
+    monkeypatch.setattr(Q, "components", lambda e: rounds(e, one_task_bytes=0))
+    assert {r.node: r.component for r in Q.graph_components_whole(spark, d).collect()} == want
