@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.functions.text import distance, jaro_possible, normalised
-from samewise.operators.components import components
-from samewise.operators.shared import ranked, written
+from samewise.operators.components import ONE_TASK_BYTES, components
+from samewise.operators.shared import ranked, table_bytes, written
 from samewise.operators.vectors import kmeans, neighbours, svd_scores
 
 #: Most rows for which all pairs are compared.
@@ -105,22 +105,70 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
     return inside / m - ends.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * m * m)
 
 
-def louvain(edges: DataFrame, sweeps: int = 6, levels: int = 4) -> DataFrame:
+def _louvain_in_one_task(edges: DataFrame) -> DataFrame:
+    """One node at a time, over a checked number of edges: sweeps until no node moves, levels until none has a move."""
+
+    def merge(batches):
+        import pyarrow as pa
+
+        links: dict[int, dict[int, float]] = {}
+        for x, y, w in sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            for p, q in ((x, y), (y, x)):  # a loop counts twice
+                at = links.setdefault(p, {})
+                at[q] = at.get(q, 0.0) + w
+        whole = {v: v for v in links}
+        twice = sum(sum(at.values()) for at in links.values())
+        while links:
+            degree = {v: sum(at.values()) for v, at in links.items()}
+            label, total, moved, busy = {v: v for v in links}, dict(degree), False, True
+            while busy:
+                busy = False
+                for v in sorted(links):
+                    own, k = label[v], degree[v]
+                    to = {own: 0.0}
+                    for o, w in links[v].items():
+                        if o != v:
+                            to[label[o]] = to.get(label[o], 0.0) + w
+                    total[own] -= k
+                    gain = {c: w - k * total[c] / twice for c, w in to.items()}
+                    best = max(gain, key=lambda c: (gain[c], -c))
+                    if gain[best] <= gain[own] + 1e-9:
+                        best = own
+                    total[best] += k
+                    if best != own:
+                        label[v], busy, moved = best, True, True
+            if not moved:
+                break
+            whole = {v: label[c] for v, c in whole.items()}
+            merged: dict[int, dict[int, float]] = {}
+            for v, at in links.items():
+                into = merged.setdefault(label[v], {})
+                for o, w in at.items():
+                    into[label[o]] = into.get(label[o], 0.0) + w
+            links = merged
+        yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.int64()), pa.array(list(whole.values()), pa.int64())], ["node", "label"])
+
+    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), "w").coalesce(1).mapInArrow(merge, "node long, label long")
+
+
+def louvain(edges: DataFrame, one_task_bytes: int = ONE_TASK_BYTES) -> DataFrame:
     """(node, label) for the nodes of undirected (src, dst, w) edges: local moves, then merged communities, level by level (M-10).
 
-    Moves are synchronous; in a sweep a node moves only up or only down in the order of labels, in turn, so
-    two nodes don't trade places. A level ends when modularity no longer grows.
+    Graphs with a checked small edge table run in a single task, one move at a time. In larger ones moves are synchronous; in a sweep a node moves only up or only down in the order of labels, in turn, so
+    two nodes don't trade places. A level ends when modularity grows in neither direction, the last level when nothing moves.
     """
     whole = None
     e = written(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("w").cast("double").alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w")), "graph")
+    if table_bytes(e) <= one_task_bytes:
+        return written(_louvain_in_one_task(e), "labels")
     m = e.agg(F.sum("w")).first()[0]
-    for _ in range(levels):
+    while True:
         both = written(e.where("src <> dst").select("src", "dst", "w").union(e.where("src <> dst").select("dst", "src", "w")), "graph")
         ends = e.select(F.col("src").alias("node"), "w").union(e.select("dst", "w")).groupBy("node").agg(F.sum("w").alias("k"))
         degree = written(ends, "degrees")
         labels = written(degree.select("node", F.col("node").alias("label")), "labels")
-        best, moved = modularity(e, labels), False
-        for sweep in range(sweeps):
+        best, moved, sweep, idle = modularity(e, labels), False, 0, 0
+        while idle < 2:
             total = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("tot"))
             to = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.sum("w").alias("links"))
             own = labels.select("node", F.col("label").alias("own")).join(degree, "node")
@@ -136,9 +184,10 @@ def louvain(edges: DataFrame, sweeps: int = 6, levels: int = 4) -> DataFrame:
             after = written(after, "labels")
             q = modularity(e, after)
             if q > best + 1e-9:
-                labels, best, moved = after, q, True
-            elif sweep % 2:
-                break
+                labels, best, moved, idle = after, q, True, 0
+            else:
+                idle += 1
+            sweep += 1
         whole = labels if whole is None else written(whole.select("node", F.col("label").alias("mid")).join(labels.select(F.col("node").alias("mid"), "label"), "mid").select("node", "label"), "labels")
         if not moved:
             break

@@ -1,3 +1,4 @@
+from samewise.operators.clusterers import louvain
 from samewise.plans import queries as Q
 
 
@@ -42,3 +43,12 @@ def test_components_of_all_edges(spark, tmp_path, monkeypatch):
     rounds = Q.components
     monkeypatch.setattr(Q, "components", lambda e: rounds(e, one_task_bytes=0))
     assert {r.node: r.component for r in Q.graph_components_whole(spark, d).collect()} == want
+
+
+def test_louvain_runs_until_nothing_moves(spark):
+    n = 120
+    edges = [(min(i, (i + 1) % n), max(i, (i + 1) % n), 1.0) for i in range(n)]
+    found = {r.node: r.label for r in louvain(spark.createDataFrame(edges, "src long, dst long, w double")).collect()}
+    sizes = [sum(c == k for c in found.values()) for k in set(found.values())]
+    inside = sum(found[a] == found[b] for a, b, _ in edges)
+    assert len(found) == n and inside / n - sum((2 * k / (2 * n)) ** 2 for k in sizes) > 0.78
