@@ -53,7 +53,7 @@ def svd_scores(df: DataFrame, dim: int = 100, id_col: str = "rid", text_col: str
     return out
 
 
-def kmeans(vectors: DataFrame, k: int = 10, seed: int = 123, starts: int = 5, col: str = "vector") -> DataFrame:
+def kmeans(vectors: DataFrame, k: int = 10, seed: int = 123, starts: int = 20, col: str = "vector") -> DataFrame:
     """(rid, label): the best of several seeded runs; k is at most the number of distinct rows (M-4)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

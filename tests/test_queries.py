@@ -1,4 +1,5 @@
 from samewise.operators.clusterers import louvain
+from samewise.operators.vectors import kmeans
 from samewise.plans import queries as Q
 
 
@@ -52,3 +53,12 @@ def test_louvain_runs_until_nothing_moves(spark):
     sizes = [sum(c == k for c in found.values()) for k in set(found.values())]
     inside = sum(found[a] == found[b] for a, b, _ in edges)
     assert len(found) == n and inside / n - sum((2 * k / (2 * n)) ** 2 for k in sizes) > 0.78
+
+
+def test_kmeans_takes_the_best_of_twenty_runs(spark, monkeypatch):
+    import pyspark.ml.clustering as ml
+
+    seeds, fit = [], ml.KMeans.fit
+    monkeypatch.setattr(ml.KMeans, "fit", lambda self, x: seeds.append(self.getSeed()) or fit(self, x))
+    rows = spark.createDataFrame([(i, [float(i % 4), float(i // 4)]) for i in range(12)], "rid long, vector array<double>")
+    assert kmeans(rows, 3).count() == 12 and len(set(seeds)) == 20
