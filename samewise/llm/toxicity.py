@@ -47,14 +47,25 @@ def windows(n: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + width, n)
 
 
-def repeated(ids: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """Which words are among the ``width`` - 1 words before them."""
-    out = np.zeros(len(ids), bool)
-    for d in range(1, min(width, len(ids))):
-        out[d:] |= ids[d:] == ids[:-d]
+def distance_back(ids: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """How many places before each word its last occurrence is; ``width`` if it is not among the ``width`` - 1 words before."""
+    out = np.full(len(ids), width, np.int64)
+    for d in range(min(width, len(ids)) - 1, 0, -1):
+        out[d:][ids[d:] == ids[:-d]] = d
     return out
 
 
+def bags(values: np.ndarray, back: np.ndarray, begin: np.ndarray, end: np.ndarray, fill) -> np.ndarray:
+    """A row of WINDOW values for each window; ``fill`` past its end and for words that occur earlier in the same window."""
+    place = np.arange(WINDOW)
+    at = begin[:, None] + place
+    inside = at < end[:, None]
+    at = np.where(inside, at, 0)
+    if not len(values):
+        return np.full(at.shape, fill, values.dtype)
+    return np.where(inside & (back[at] > place), values[at], fill)
+
+
 class Model:
     """The table, the softmax and the calibration of a document's worst window."""
 
@@ -86,10 +97,10 @@ class Model:
             return self
         state = [np.full_like(self.table, 1e-4), np.full_like(self.soft, 1e-4), np.full_like(self.bias, 1e-4)]
         scores = None
-        clean = [np.where(repeated(d), -1, d) for d in docs]
+        back = [distance_back(d).astype(np.int8) for d in docs]
         for turn in range(ROUNDS):
             chosen, want = [], []
-            for i, d in enumerate(clean):
+            for i, d in enumerate(docs):
                 b, e = spans[i]
                 if not len(d):
                     continue
@@ -103,9 +114,8 @@ class Model:
                     take = {int(scores[i].argmax()), *r.integers(0, len(b), most - 1).tolist()}
                 for k in take:
                     bag = d[b[k] : e[k]]
-                    if (bag >= 0).any():
-                        chosen.append(bag[bag >= 0])
-                        want.append(int(labels[i]))
+                    chosen.append(bag[back[i][b[k] : e[k]] > np.arange(len(bag))])
+                    want.append(int(labels[i]))
             want = np.array(want)
             weigh = np.where(want == 1, 0.5 / max(1, want.sum()), 0.5 / max(1, (1 - want).sum())) * len(want)
             for _ in range(EPOCHS):
@@ -113,7 +123,7 @@ class Model:
                 for k in range(0, len(order), 64):
                     self._step([chosen[i] for i in order[k : k + 64]], want[order[k : k + 64]], weigh[order[k : k + 64]], flat, first, size, state)
             per_word = self._word_scores(flat, first, size)
-            scores = [self._windows(np.where(d < 0, 0.0, per_word[d]), *spans[i]) for i, d in enumerate(clean)]
+            scores = [self._windows(per_word[d], back[i], *spans[i]) for i, d in enumerate(docs)]
         top = np.array([s.max() for s in scores])
         self._calibrate(top, labels, shares)
         return self
@@ -122,9 +132,8 @@ class Model:
         pull = self.table @ (self.soft[:, 1] - self.soft[:, 0])
         return np.add.reduceat(pull[flat], first[:-1]) / size if len(flat) else np.empty(0)
 
-    def _windows(self, word_scores: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(word_scores, dtype=np.float64)])
-        return (sums[end] - sums[begin]) / WINDOW + float(self.bias[1] - self.bias[0])
+    def _windows(self, word_scores: np.ndarray, back: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return bags(word_scores, back, begin, end, 0.0).sum(1, dtype=np.float64) / WINDOW + float(self.bias[1] - self.bias[0])
 
     def _step(self, bags, want, weigh, flat, first, size, state, rate: float = 0.15) -> None:
         word = np.concatenate(bags)
@@ -178,9 +187,7 @@ class Model:
                     known[len(memo)] = sum([pull[k] for k in rows]) / len(rows)
                     memo[w] = len(memo)
             ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-            s = known[ids]
-            s[repeated(ids)] = 0.0
-            top = self._windows(s, *windows(len(words))).max()
+            top = self._windows(known[ids], distance_back(ids), *windows(len(words))).max()
             return float(1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -50, 50))))
 
         return score
