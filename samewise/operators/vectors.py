@@ -11,6 +11,8 @@ from samewise.operators.shared import written
 
 #: Rows of a block in the neighbour search.
 BLOCK = 1024
+#: Terms of a vocabulary; more are an error, none is left out.
+TERMS = 1 << 20
 
 
 def terms(df: DataFrame, id_col: str = "rid", text_col: str = "text") -> DataFrame:
@@ -36,7 +38,9 @@ def svd_scores(df: DataFrame, dim: int = 100, id_col: str = "rid", text_col: str
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False).transform(df.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text")))
-    counted = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=1 << 20).fit(words)
+    counted = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=TERMS + 1).fit(words)
+    if len(counted.vocabulary) > TERMS:
+        raise ValueError(f"more than {TERMS} distinct terms")
     share = Normalizer(inputCol="counts", outputCol="share", p=1.0).transform(counted.transform(words))
     weighed = written(IDF(inputCol="share", outputCol="weights").fit(share).transform(share).select("rid", "weights"), "weights").persist()
     n, m = weighed.count(), len(counted.vocabulary)
