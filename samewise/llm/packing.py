@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int =
     A null or empty text is ``end_id`` alone. The first piece of a long document is the short one. Null
     and repeated ids are kept as they are; other columns aren't read.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession, 2000)
 
     def run(batches):
         import zlib
@@ -35,14 +35,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int =
 
         from samewise.llm.tokens import encoder
 
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
+        enc = encoder(tokenizer_path)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for name, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.concatenate([enc.ids(x.as_py()), end])
-                cuts = [0, *range(len(ids) % max_len or max_len, len(ids) + 1, max_len)]
+            every, many = enc.batch(b.column(1), end_id)
+            data, begin = every.astype("<u4").tobytes(), 0
+            for name, n in zip(b.column(0).to_pylist(), many.tolist(), strict=True):
+                cuts = [0, *range(n % max_len or max_len, n + 1, max_len)]
+                own, begin = begin, begin + n
                 for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    for c, v in zip(out, (name, k, i, j - i, zlib.crc32(ids[i:j].tobytes())), strict=True):
+                    for c, v in zip(out, (name, k, i, j - i, zlib.crc32(data[4 * (own + i) : 4 * (own + j)])), strict=True):
                         c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])

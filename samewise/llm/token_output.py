@@ -26,8 +26,7 @@ SEGMENT_IDS = 1 << 19
 SEGMENTS = "part int, segment int, start_in_part long, n_docs int, n_ids long, payload binary"
 
 
-def pack_segment(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
-    ids = np.concatenate(arrays) if arrays else np.empty(0, "<u4")
+def pack_segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     words, offsets = simple8b.encode(ids)
     null = np.array([x is None for x in doc_ids], "u1")
     return b"".join(
@@ -35,7 +34,7 @@ def pack_segment(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
             _HEAD.pack(MAGIC, len(doc_ids), len(ids), len(offsets) - 1, len(words)),
             np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
             null.tobytes(),
-            np.array([len(a) for a in arrays], "<u4").tobytes(),
+            counts.astype("<u4").tobytes(),
             offsets.astype("<u4").tobytes(),
             words.astype("<u8").tobytes(),
         )
@@ -68,7 +67,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     all written, in the order of a hash of their texts; an empty table writes no segment. Other columns
     are not read. Texts cross the network once, to range partitions; ids are made after that.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_rows(docs.sparkSession, 2000)
     id_, text = docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")
     laid = docs.select(id_, text).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
 
@@ -78,22 +77,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
         from samewise.llm.tokens import encoder
 
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4")
-        part, segment, start, held, names, arrays = TaskContext.get().partitionId(), 0, 0, 0, [], []
+        enc = encoder(tokenizer_path)
+        part, segment, start, held, names, counts, arrays = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def close():
-            cols = [[part], [segment], [start], [len(names)], [held], [pack_segment(names, arrays)]]
+            payload = pack_segment(names, np.concatenate(counts), np.concatenate(arrays))
+            cols = [[part], [segment], [start], [len(names)], [held], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
         for b in batches:
-            for name, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                names.append(name)
-                arrays.append(np.concatenate([enc.ids(x.as_py()), end]))
-                held += len(arrays[-1])
+            ids, many = enc.batch(b.column(1), end_id)
+            ends, own, i = np.concatenate([[0], np.cumsum(many)]), b.column(0).to_pylist(), 0
+            while i < len(own):
+                j = min(len(own), int(np.searchsorted(ends, ends[i] + segment_ids - held)))
+                names += own[i:j]
+                counts.append(many[i:j])
+                arrays.append(ids[ends[i] : ends[j]])
+                held += int(ends[j] - ends[i])
                 if held >= segment_ids:
                     yield close()
-                    segment, start, held, names, arrays = segment + 1, start + held, 0, [], []
+                    segment, start, held, names, counts, arrays = segment + 1, start + held, 0, [], [], []
+                i = j
         if names:
             yield close()
 

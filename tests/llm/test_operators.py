@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,9 +28,15 @@ def test_simple8b_round_trip():
 
 def test_encoder_equals_the_tokenizer():
     e, r = encoder(TOKENIZER), random.Random(1)
-    texts = ["a  b", " x", "x ", "x\n y", "it's  they'll", "a<|endoftext|> b\n <|endoftext|>c", "é ü ñ 　y"] + ["".join(r.choice(" \n\tab,'s1é") for _ in range(50)) for _ in range(300)]
-    for t in texts:
-        assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = ["a  b", " x", "x ", "x\n y", "it's  they'll", "a<|endoftext|> b\n <|endoftext|>c", "\u00e9 \u00fc \u00f1 \u3000y"]
+    texts += ["", None, "\n", "\n\n\nx", "x'\ny's\n", "\u00bdx \u00b2 y!'s", "\u0120a \u010a b", "x\t\t\ny \n z"]
+    texts += ["".join(r.choice(" \n\tab,'s1\u00e9.\u0301\u00a0$") for _ in range(50)) for _ in range(300)]
+    for _ in range(2):  # with the memo empty and full
+        ids, many = e.batch(pa.array(texts), 7)
+        at = np.cumsum(many) - many
+        for t, i, n in zip(texts, at, many, strict=True):
+            want = e.tokenizer.encode(t or "", add_special_tokens=False).ids
+            assert ids[i : i + n].tolist() == [*want, 7] and e.ids(t).tolist() == want
 
 
 def test_token_output(spark, tmp_path):
@@ -40,7 +47,7 @@ def test_token_output(spark, tmp_path):
     texts = {r[0]: r[1] for r in ODD}
     at = 0
     for r in rows:
-        ids = [*encoder(TOKENIZER).ids(texts[r.doc_id]).tolist(), 0]
+        ids = [*encoder(TOKENIZER).tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.start == at
         at += len(ids)
     token_output.write_tokens(df.limit(0), f"file://{tmp_path}/e", TOKENIZER)
@@ -55,7 +62,7 @@ def test_packing(spark):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 64 and len(ends) <= -(-sum(r.length for r in rows) // 64) + 1
-    ids = np.array([*encoder(TOKENIZER).ids(ODD[-1][1]).tolist(), 2], "<u4")
+    ids = np.array([*encoder(TOKENIZER).tokenizer.encode(ODD[-1][1], add_special_tokens=False).ids, 2], "<u4")
     for r in rows:
         if r.doc_id == 5:
             assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
