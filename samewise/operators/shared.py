@@ -15,9 +15,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, a new local one (single machines and tests)."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a new local one, on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='samewise-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -52,12 +55,23 @@ def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if table_bytes(df if of is None else of) <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Bounds the rows and the bytes of the batches that go to Python, for plans that send whole texts there."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def ranked(df: DataFrame, keys: list, rank: str) -> DataFrame:
@@ -66,10 +80,11 @@ def ranked(df: DataFrame, keys: list, rank: str) -> DataFrame:
     The rows are range-partitioned and sorted once and written; the counts of the partitions, as many rows
     as there are partitions, are summed up and added to the places within them.
     """
-    laid = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33)
-    before = starts(laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")), "_part", "_n")
-    return laid.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_at") - F.shiftleft(F.col("_part"), 33)).drop("_part", "_at", "_before")
+    at, own, n = (fresh(df, x) for x in ("at", "part", "before"))
+    laid = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, 33)
+    before = starts(laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")), "_part", "_n").toDF(own, n)
+    return laid.withColumn(own, part).join(F.broadcast(before), own).withColumn(rank, F.col(n) + F.col(at) - F.shiftleft(F.col(own), 33)).drop(own, at, n)
 
 
 def starts(counts: DataFrame, key: str, n: str) -> DataFrame:
