@@ -7,8 +7,8 @@ inverted lists set aside, one occurrence in the short lists makes a candidate. M
 among those is what they share beyond the ceil(t * max(n, m)) - 1 others, so the number of short lists a pair
 is in has to reach T less that; for sets of about one size this is a tenth of the set. The inverted index of the short lists is
 spread over the cluster by shingle; each of its tasks counts the lists that two documents share, and the counts are summed. A candidate
-then is searched with its query's whole set: a heap merges short lists over the candidates, and those that
-can still reach T are probed for in the long lists by binary search.
+then is searched with its query's whole set, whose shingles' inverted lists over the candidates are divided: a heap merges
+the short ones, and candidates that can still reach T are probed for in the long ones by binary search.
 
 Short lists of over ``PAIRED`` documents are not paired at once, nor counted. Their members are first tested against one of
 them; then some of those outside the largest class of a list are tested against its other classes, more of them in
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.shingles import fingerprint, shingle_sets
 from samewise.operators.components import components
-from samewise.operators.shared import arrow_rows, small, written
+from samewise.operators.shared import arrow_rows, dropped, small, written
 
 #: Similarity that links, in hundredths.
 HUNDREDTHS = 75
@@ -38,8 +38,8 @@ SKETCH_BITS = 20
 PAIRED = 32
 #: Candidates of one query that are searched together.
 CHUNK = 256
-#: Tests that a list may ask for in a round.
-ROUND_TESTS = 200_000
+#: Members of a list, outside its largest class, that are tested against its other classes in the second round, and the factor to the next.
+DRAWN, GROWTH = 16, 32
 #: Postings that a task gathers before it writes them out.
 UNIT = 1 << 19
 #: Sets that a task remembers, so that copies in other units of it add nothing.
@@ -60,12 +60,16 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], hundredths: int
     possible = np.flatnonzero(need <= np.minimum(len(query), sizes))
     if not len(possible) or not len(query):
         return []
-    # inverted lists of the query's shingles over the candidates
+    # inverted lists of the query's shingles over the candidates, each in ascending order of candidate
     keys = np.concatenate([candidates[i] for i in possible])
     owners = np.repeat(possible, sizes[possible])
     order = np.argsort(keys, kind="stable")
     keys, owners = keys[order], owners[order]
-    lo, hi = np.searchsorted(keys, query, "left"), np.searchsorted(keys, query, "right")
+    at = np.minimum(np.searchsorted(query, keys), len(query) - 1)
+    of, owners = at[query[at] == keys], owners[query[at] == keys]
+    if not len(of):
+        return []
+    lo, hi = np.searchsorted(of, np.arange(len(query)), "left"), np.searchsorted(of, np.arange(len(query)), "right")
     length = hi - lo
     least = int(need[possible].min())
     longest = max(2, int(length.max()))
@@ -76,17 +80,13 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], hundredths: int
     seen: dict[int, int] = {}
     for owner in heapq.merge(*(owners[lo[k] : hi[k]].tolist() for k in short.tolist() if length[k])):
         seen[owner] = seen.get(owner, 0) + 1
-    probes = np.sort(query[long])
-    found = []
-    for c, n in seen.items():
-        if n + len(probes) < need[c]:
-            continue
-        have = candidates[c]
-        at = np.searchsorted(have, probes)
-        at[at == len(have)] = 0
-        if n + int((have[at] == probes).sum()) >= need[c]:
-            found.append(c)
-    return found
+    near = np.array([c for c, n in seen.items() if n + len(long) >= need[c]], np.int64)
+    # binary probes of the long lists, which lie one after another in the index
+    index = of * len(candidates) + owners
+    probes = long[:, None] * len(candidates) + near
+    at = np.minimum(np.searchsorted(index, probes), len(index) - 1)
+    total = (index[at] == probes).sum(0) + np.array([seen[c] for c in near.tolist()], np.int64)
+    return near[total >= need[near]].tolist()
 
 
 def _needed(n: str, m: str, hundredths: int) -> str:
@@ -350,21 +350,25 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
     )
 
     def tested(pivots: DataFrame, members: DataFrame) -> DataFrame:
+        """The pairs (a, b) of a pivot and a member of another class that may be similar enough."""
         # a set that has left a list was a pivot there and met the others of it then
         both = members.withColumn("list", F.explode("open")).join(pivots, "list").where((F.col("label") != F.col("p_label")) & compatible)
-        pairs = both.select(F.col("p_sig").alias("a"), F.col("sig").alias("b"))
-        return _search(written(pairs, "tests"), sets, hundredths)
+        return both.select(F.col("p_sig").alias("a"), F.col("sig").alias("b"))
 
     def opened(rows: DataFrame) -> DataFrame:
         return rows.groupBy("sig").agg(F.collect_list("list").alias("open"))
 
     # one row a set, with the long lists that it still is open in
-    members, step = big.withColumn("open", F.col("ids")), 0
+    members, step, old = big.withColumn("open", F.col("ids")), 0, []
     while True:
         step += 1
         c = components(links)
+        # a star for each class stands for all its links
+        links = written(c.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")), "links")
         members = members.join(c, members.sig == c.node, "left").select("sig", "size", "lists", "ids", "bits", "open", F.coalesce("component", "sig").alias("label"))
         members = written(members, "lists")
+        for table in old:
+            dropped(table)
         rows = members.select("sig", "label", F.explode("open").alias("list"))
         classes = rows.groupBy("list", "label").agg(F.count("*").alias("n"), F.min("sig").alias("sig"))
         lists = classes.groupBy("list").agg(F.count("*").alias("classes"), F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("top"), F.min("sig").alias("least"))
@@ -376,7 +380,7 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
             pivots = open_.where("sig = least")
         else:
             outside = F.col("m") - F.col("top.n")
-            share = F.least(F.lit(float(4 ** min(step, 20))), F.lit(float(ROUND_TESTS)) / F.col("m")) / outside
+            share = F.lit(float(DRAWN) * GROWTH ** min(step - 2, 20)) / outside
             draw = F.shiftrightunsigned(F.xxhash64("sig", F.lit(step)), 11) / F.lit(float(1 << 53))
             first = open_.where("label <> top.label").groupBy("list").agg(F.min("sig").alias("next"))
             pivots = open_.join(first, "list").where("label <> top.label").where((draw < share) | (F.col("sig") == F.col("next")))
@@ -387,7 +391,10 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
         # lists that are of one class by now have no pivots, and their members need not be spread over them again
         still = rows.join(small(lists.select("list"), lists), "list", "left_semi")
         facts = members.drop("open")
-        links = written(links.unionByName(tested(small(pivots), facts.join(opened(still), "sig"))), "links")
+        pairs = written(tested(small(pivots), facts.join(opened(still), "sig")), "tests")
+        found = written(_search(pairs, sets, hundredths), "links")
+        old = [lists, drawn, pivots, pairs, links, found, members]
+        links = links.unionByName(found)
         members = facts.join(opened(still.join(small(drawn), ["list", "sig"], "left_anti")), "sig")
 
 
