@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Entries of a generation of a memo in each Python worker; one takes about 200 bytes.
-MEMO_ENTRIES = 450_000
+MEMO_ENTRIES = 300_000
 #: Words and pieces longer than this are not kept in a memo.
 MEMO_CHARS = 48
 
