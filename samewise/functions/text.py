@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ SPACE = r"(?U)\s+"
 #: Fixed: the number pattern of embedding strings (C-5).
 NUMBER = r"[-+]?(?:\d*\.\d+|\d+)(?:[eE][-+]?\d+)?"
 WORD = r"[\p{L}\p{N}_']+"
+#: Letters of one side that are compared at once.
+CELLS = 1 << 17
 
 
 def squish(c: Column) -> Column:
@@ -37,29 +40,49 @@ def nfkc(c: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """NFKC, lower case, collapsed and trimmed white space. Only texts beyond ASCII go to Python."""
-    return squish(F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)))
-
-
-def _jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0
-    reach = max(0, max(n, m) // 2 - 1)
-    used, mine = [False] * m, []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if not used[j] and b[j] == x:
-                used[j] = True
-                mine.append(x)
-                break
-    if not mine:
-        return 0.0
-    theirs = [y for y, u in zip(b, used, strict=True) if u]
-    k, moved = len(mine), sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
-    return (k / n + k / m + (k - moved) / k) / 3
+    """NFKC, lower case, collapsed and trimmed white space. Only texts beyond ASCII go to Python; others cross as nulls."""
+    return squish(F.lower(F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)))
+
+
+def jaro_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro similarities of pairs of strings, many at a time; two empty ones are equal."""
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = np.empty(len(a))
+    order = np.argsort(n * 1024 + m, kind="stable")  # pairs of like lengths together
+    at = 0
+    while at < len(order):
+        wide = max(1, int(n[order[at:]].max(initial=0)), int(m[order[at:]].max(initial=0)))
+        pick = order[at : at + max(1, CELLS // wide)]
+        out[pick] = _jaro([a[i] for i in pick], [b[i] for i in pick], n[pick], m[pick])
+        at += len(pick)
+    return out
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    return np.array(texts, dtype=f"<U{width}").view("<u4").reshape(len(texts), width)
+
+
+def _jaro(a: list[str], b: list[str], n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    wide_a, wide_b = max(1, int(n.max())), max(1, int(m.max()))
+    x, y = _codes(a, wide_a), _codes(b, wide_b)
+    reach = np.maximum(0, np.maximum(n, m) // 2 - 1)[:, None]
+    place = np.arange(wide_b)
+    free, mine = place < m[:, None], np.zeros(x.shape, bool)
+    for i in range(wide_a):  # each letter takes the first free equal one within reach
+        may = (y == x[:, i : i + 1]) & free & (np.abs(place - i) <= reach) & (i < n)[:, None]
+        j = may.argmax(1)
+        hit = np.flatnonzero(may[np.arange(len(j)), j])
+        mine[hit, i] = True
+        free[hit, j[hit]] = False
+    theirs = (place < m[:, None]) & ~free
+    k = mine.sum(1)
+    width = int(k.max(initial=0))
+    left = np.take_along_axis(x, np.argsort(~mine, axis=1, kind="stable"), 1)[:, :width]
+    right = np.take_along_axis(y, np.argsort(~theirs, axis=1, kind="stable"), 1)[:, :width]
+    moved = ((left != right) & (np.arange(width) < k[:, None])).sum(1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sim = np.where(k > 0, (k / n + k / m + (k - moved) / k) / 3, 0.0)
+    return np.where([p == q for p, q in zip(a, b, strict=True)], 1.0, sim)
 
 
 def _edits(a: str, b: str, anywhere: bool) -> int:
@@ -107,7 +130,14 @@ def _python(f):
 
 
 def jaro_similarity(a: Column, b: Column) -> Column:
-    return _python(_jaro)(a, b)
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        known = (x.notna() & y.notna()).to_numpy()
+        out = pd.Series([None] * len(x), index=x.index, dtype="Float64")
+        out[known] = jaro_pairs(x[known].tolist(), y[known].tolist())
+        return out
+
+    return run(a, b)
 
 
 def jaro_possible(a: Column, b: Column, similarity: float) -> Column:

@@ -5,16 +5,20 @@ Each takes (rid long, text or vector) and gives (rid, label) with a label for ev
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.functions.text import distance, jaro_possible, normalised
+from samewise.functions.text import distance, jaro_pairs, normalised
 from samewise.operators.components import ONE_TASK_BYTES, components
-from samewise.operators.shared import ranked, table_bytes, written
+from samewise.operators.shared import dropped, ranked, small, table_bytes, written
 from samewise.operators.vectors import kmeans, neighbours, svd_scores
 
 #: Most rows for which all pairs are compared.
 MST_ROWS = 3000
+#: Rows of a block of the sorted neighbourhood.
+BLOCK_ROWS = 8192
 
 
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,25 +38,32 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     edges = written(edges, "weights")
     kept = edges.limit(0)
     while True:
-        c = components(kept.select(F.col("lo").alias("src"), F.col("hi").alias("dst"))) if not kept.isEmpty() else None
-        e = edges
-        if c is None:
-            e = e.withColumns({"cl": F.col("lo"), "ch": F.col("hi")})
+        if kept.isEmpty():
+            e = edges.withColumns({"cl": F.col("lo"), "ch": F.col("hi")})
         else:
+            e, c = edges, written(components(kept.select(F.col("lo").alias("src"), F.col("hi").alias("dst"))), "labels")
             for side, name in (("lo", "cl"), ("hi", "ch")):
-                e = e.join(F.broadcast(c.select(F.col("node").alias(side), F.col("component").alias(name))), side, "left").withColumn(name, F.coalesce(name, side))
+                e = e.join(small(c.select(F.col("node").alias(side), F.col("component").alias(name)), c), side, "left").withColumn(name, F.coalesce(name, side))
+        e = written(e.where("cl <> ch"), "weights")  # edges inside a tree are done with
         least = F.min(F.struct("w", "lo", "hi")).alias("e")
-        e = e.where("cl <> ch")
         new = e.groupBy(F.col("cl").alias("c")).agg(least).union(e.groupBy(F.col("ch").alias("c")).agg(least)).groupBy("c").agg(F.min("e").alias("e")).select("e.lo", "e.hi", "e.w").distinct()
         new = written(new, "forest")
+        dropped(edges)
+        edges = e.drop("cl", "ch")
+        edges._samewise_path = e._samewise_path
         if new.isEmpty():
             return kept
         kept = written(kept.unionByName(new), "forest")
 
 
-def mst_clusters(df: DataFrame, cut_ratio: int = 5, k: int | None = None, zero_edges: str = "keep") -> DataFrame:
-    """Cuts the min(k - 1, all) heaviest edges of the forest, k = max(2, n // cut_ratio) (M-7). zero_edges: keep or drop (T4)."""
+def mst_clusters(df: DataFrame, cut_ratio: int = 5, k: int | None = None, zero_edges: str = "keep", most_rows: int = MST_ROWS) -> DataFrame:
+    """Cuts the min(k - 1, all) heaviest edges of the forest, k = max(2, n // cut_ratio) (M-7). zero_edges: keep or drop (T4).
+
+    All pairs are compared, so more than ``most_rows`` rows are an error.
+    """
     n = df.count()
+    if n > most_rows:
+        raise ValueError(f"{n} rows; a spanning tree over all pairs takes {most_rows} at most")
     if n < 2:
         return df.select("rid", F.lit(1).cast("long").alias("label"))
     pairs = edit_pairs(df)
@@ -64,18 +75,54 @@ def mst_clusters(df: DataFrame, cut_ratio: int = 5, k: int | None = None, zero_e
 
 
 def neighbourhood_links(df: DataFrame, window: int = 40, method: str = "jw", threshold: float = 0.12) -> DataFrame:
-    """(src, dst): rows within ``window`` places in the order of the normalised text, at a distance of ``threshold`` at most (J-3)."""
+    """(src, dst): rows within ``window`` places in the order of the normalised text, at a distance of ``threshold`` at most,
+    give or take 1e-12 (J-3).
+
+    The rows are range-sorted once; blocks of consecutive places, each with the ``window`` rows after it, are compared by
+    themselves.
+    """
     keyed = df.select("rid", "text", normalised(F.col("text")).alias("key"))
-    placed = written(ranked(keyed, ["key", "rid"], "place"), "places")
-    ahead = placed.select(F.col("rid").alias("src"), F.col("text").alias("x"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"))
-    pairs = ahead.join(placed.select("place", F.col("rid").alias("dst"), F.col("text").alias("y")), "place")
-    equal = pairs.where("x = y").select("src", "dst")
-    other = pairs.where("x <> y")
+    placed = ranked(keyed, ["key", "rid"], "place").select("rid", "text", "place")
+    rows = max(BLOCK_ROWS, window)
+    block = F.floor(F.col("place") / rows)
+    both = F.when((F.col("place") % rows < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    laid = placed.withColumn("block", F.explode(both))
+
+    def pairs(pdf):
+        """Places in the block of pairs, and the codes of their texts."""
+        pdf = pdf.sort_values("place")
+        code, texts = pd.factorize(pdf.text, use_na_sentinel=True)
+        i = np.repeat(np.flatnonzero((pdf.place // rows == pdf.block.iloc[0]).to_numpy()), window)
+        j = i + np.tile(np.arange(1, window + 1), len(i) // window)
+        i, j = i[j < len(pdf)], j[j < len(pdf)]
+        known = (code[i] >= 0) & (code[j] >= 0)
+        i, j = i[known], j[known]
+        return pdf.rid.to_numpy(), list(texts), i, j, code[i], code[j]
+
     if method == "jw":
-        other = other.where(jaro_possible(F.col("x"), F.col("y"), 1 - threshold))
-    texts = other.select("x", "y").distinct().withColumn("d", distance(F.col("x"), F.col("y"), method))
-    near = texts.where(~F.isnan("d") & (F.col("d") <= threshold + 1e-12))
-    return equal.unionByName(other.join(near, ["x", "y"]).select("src", "dst")) if threshold >= 0 else other.limit(0).select("src", "dst")
+
+        def close(pdf):
+            rid, texts, i, j, x, y = pairs(pdf)
+            kinds, of = np.unique(x * np.int64(len(texts)) + y, return_inverse=True)
+            p, q = kinds // max(1, len(texts)), kinds % max(1, len(texts))
+            size = np.array([len(t) for t in texts] or [0])
+            lo, hi = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+            far = np.ones(len(kinds))
+            far[p == q] = 0.0
+            may = np.flatnonzero((p != q) & ((2 + lo / np.maximum(1, hi)) / 3 >= 1 - threshold - 1e-12))
+            far[may] = 1 - jaro_pairs([texts[k] for k in p[may]], [texts[k] for k in q[may]])
+            near = (far <= threshold + 1e-12)[of]
+            return pd.DataFrame({"src": rid[i[near]], "dst": rid[j[near]]})
+
+        return laid.groupBy("block").applyInPandas(close, "src long, dst long")
+
+    def spread(pdf):
+        rid, texts, i, j, x, y = pairs(pdf)
+        return pd.DataFrame({"src": rid[i], "dst": rid[j], "x": [texts[k] for k in x], "y": [texts[k] for k in y]})
+
+    found = laid.groupBy("block").applyInPandas(spread, "src long, dst long, x string, y string")
+    d = distance(F.col("x"), F.col("y"), method)
+    return found.withColumn("d", d).where(~F.isnan("d") & (F.col("d") <= threshold + 1e-12)).select("src", "dst")
 
 
 def neighbourhood_clusters(df: DataFrame, window: int = 40, method: str = "jw", threshold: float = 0.12) -> DataFrame:

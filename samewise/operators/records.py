@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.functions.text import normalised, parsed_numbers, rendered, squish
@@ -29,6 +29,19 @@ def standardised(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.lower(squish(F.col(f"`{c}`").cast("string"))) for c in cols})
 
 
+def chosen_fields(columns: list[str], fields: list[str] | None = None, extra_fields: list[str] | None = None, text_names: list[str] = TEXT_NAMES) -> list[str]:
+    """The lower-case columns that a record's text is made of: the fields that are there, or the first of ``text_names``; then the extra ones (P-4)."""
+    if not fields:
+        if (main := first_present(text_names, columns)) is None:
+            raise ValueError(f"no text field: give fields, or one of {text_names}")
+        chosen = [main]
+    elif not (chosen := [f.lower() for f in fields if f.lower() in columns]):
+        raise ValueError("none of the fields is a column")
+    if extra_fields:
+        chosen = list(dict.fromkeys([*chosen, *(f.lower() for f in extra_fields if f.lower() in columns)]))
+    return chosen
+
+
 def select_fields(df: DataFrame, id_col: str | None = None, fields: list[str] | None = None, extra_fields: list[str] | None = None, id_names: list[str] = ID_NAMES, text_names: list[str] = TEXT_NAMES, normalize: bool = True, null_token: str | None = "NA", keep: list[str] = ()) -> DataFrame:
     """(id, text_for_matching) and the columns ``keep``: one text for each record (F6).
 
@@ -45,16 +58,7 @@ def select_fields(df: DataFrame, id_col: str | None = None, fields: list[str] |
     elif (id_col := first_present(id_names, df.columns)) is None:
         df = ranked(df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], "_place").withColumn("id", (F.col("_place") + 1).cast("string"))
         id_col, kinds = "id", kinds | {"id": "string"}
-    if not fields:
-        if (main := first_present(text_names, list(kinds))) is None:
-            raise ValueError(f"no text field: give fields, or one of {text_names}")
-        chosen = [main]
-    else:
-        chosen = [f.lower() for f in fields if f.lower() in kinds]
-        if not chosen:
-            raise ValueError("none of the fields is a column")
-    if extra_fields:
-        chosen = list(dict.fromkeys([*chosen, *(f.lower() for f in extra_fields if f.lower() in kinds)]))
+    chosen = chosen_fields(list(kinds), fields, extra_fields, text_names)
     parts = [rendered(c, kinds[c]) for c in chosen]
     text = squish(F.concat_ws(" ", *([F.coalesce(p, F.lit(null_token)) for p in parts] if null_token is not None else parts)))
     text = F.when(text == "", " ").otherwise(text)
@@ -126,7 +130,3 @@ def filled_labels(df: DataFrame, label: str = "cluster_id", order: str = "id") -
     missing = ranked(df.where(F.col(label).isNull()), [order], "_k")
     return df.where(F.col(label).isNotNull()).unionByName(missing.withColumn(label, (F.col("_k") + 1 + top).cast(kind)).drop("_k"))
 
-
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")

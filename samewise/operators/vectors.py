@@ -65,42 +65,51 @@ def kmeans(vectors: DataFrame, k: int = 10, seed: int = 123, starts: int = 20, c
     x = vectors.select("rid", array_to_vector(F.col(col)).alias("features")).persist()
     k = min(k, vectors.select(col).distinct().limit(k + 1).count())
     if k < 2:
+        x.unpersist()
         return vectors.select("rid", F.lit(1).alias("label"))
     fits = [KMeans(k=k, seed=seed + i, maxIter=10).fit(x) for i in range(starts)]
     best = min(fits, key=lambda f: f.summary.trainingCost)
-    out = best.transform(x).select("rid", (F.col("prediction") + 1).alias("label"))
+    out = written(best.transform(x).select("rid", (F.col("prediction") + 1).alias("label")), "labels")
+    x.unpersist()
     return out
 
 
 def neighbours(vectors: DataFrame, k: int, col: str = "vector", least: float | None = None) -> DataFrame:
     """(rid, other, sim, place): the ``k`` rows of highest cosine for each row, itself excluded; ties by id.
 
-    Exact, by blocks: each task multiplies two blocks of rows and keeps k candidates a row, so memory is
-    bounded; work grows with the square of the rows. Rows of another length than the first, with nulls, or without a finite norm above 0 take no part.
+    Exact, by blocks: each task multiplies two blocks of rows, once for both, and keeps k candidates a row, so memory is
+    bounded; work grows with the square of the rows. Rows of another length than the commonest, with nulls, or without a finite norm above 0 take no part.
     """
     usable = F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(col, lambda x: x != 0)
     rows = written(vectors.where(usable).select(F.col("rid").cast("long").alias("rid"), F.col(col).alias("v")), "rows")
+    usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if usual is not None:
+        rows = rows.where(F.size("v") == usual.d)
     n = rows.count()
     k, blocks = max(1, min(k, n - 1)), max(1, -(-n // BLOCK))
-    own = F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")
-    side = [rows.withColumn(a, own).withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("i", "j", F.lit(s).alias("side"), "rid", "v") for a, b, s in (("i", "j", 0), ("j", "i", 1))]
+    laid = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    laid = laid.select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "v")
 
     def near(pdf):
         import pandas as pd
 
-        a, b = (pdf[pdf.side == s].sort_values("rid") for s in (0, 1))
+        i, j = pdf.i.iloc[0], pdf.j.iloc[0]
+        a, b = (pdf[pdf.block == x].sort_values("rid") for x in (i, j))
         if not len(a) or not len(b):
             return pd.DataFrame({"rid": [], "other": [], "sim": []})
         x, y = (np.stack(t.v.to_numpy()) for t in (a, b))
         s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
         s[a.rid.to_numpy()[:, None] == b.rid.to_numpy()[None]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        sims = np.take_along_axis(s, top, 1).ravel()
-        ok = np.isfinite(sims)
-        return pd.DataFrame({"rid": np.repeat(a.rid.to_numpy(), top.shape[1])[ok], "other": b.rid.to_numpy()[top].ravel()[ok], "sim": sims[ok]})
+        out = []
+        for own, other, sims in ((a, b, s), (b, a, s.T))[: 1 if i == j else 2]:
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(sims, top, 1).ravel()
+            ok = np.isfinite(best)
+            out.append(pd.DataFrame({"rid": np.repeat(own.rid.to_numpy(), top.shape[1])[ok], "other": other.rid.to_numpy()[top].ravel()[ok], "sim": best[ok]}))
+        return pd.concat(out)
 
     from pyspark.sql import Window
 
-    found = side[0].unionByName(side[1]).groupBy("i", "j").applyInPandas(near, "rid long, other long, sim double")
+    found = laid.groupBy("i", "j").applyInPandas(near, "rid long, other long, sim double")
     placed = found.withColumn("place", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("sim"), "other"))).where(F.col("place") <= k)
     return placed if least is None else placed.where(~F.isnan("sim") & (F.col("sim") >= least))

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from samewise.operators import clusterers as C
 from samewise.operators.evaluation import evaluate
-from samewise.operators.records import EMBEDDING_NAMES, ID_NAMES, TEXT_NAMES, filled_labels, first_present, parsed_embeddings, select_fields, truth_from_any
+from samewise.operators.records import EMBEDDING_NAMES, ID_NAMES, TEXT_NAMES, chosen_fields, filled_labels, first_present, parsed_embeddings, select_fields, truth_from_any
 from samewise.operators.shared import ranked, written
 from samewise.operators.vectors import svd_scores
 from samewise.sources.load import load_input
 
 
+#: Numbers and modes that a result's details repeat.
+PARAMETERS = ["k_clusters", "knn_k", "mst_cut_ratio", "mst_k", "sn_window", "sn_method", "sn_thresh", "svd_dim", "louvain_min_sim", "cos_thresh", "eval_mode", "label_mode"]
+
+
 @dataclass
 class Result:
     performance: DataFrame | None
@@ -22,10 +26,16 @@ class Result:
     details: dict = field(default_factory=dict)
 
 
-def unified_pipeline(spark: SparkSession, data, truth=None, sheet=None, id_col=None, fields=None, extra_fields=None, id_names=ID_NAMES, text_names=TEXT_NAMES, embed_col=None, embed_names=EMBEDDING_NAMES, k_clusters=10, knn_k=15, mst_cut_ratio=5, mst_k=None, sn_window=40, sn_method="jw", sn_thresh=0.12, svd_dim=100, louvain_min_sim=0.0, cos_thresh=0.88, eval_mode="labeled_only", write_csv=None) -> Result:
-    """All methods over one table; predictions have id, text_for_matching and a pred_ column a method (F15)."""
+def unified_pipeline(spark: SparkSession, data, truth=None, sheet=None, id_col=None, fields=None, extra_fields=None, id_names=ID_NAMES, text_names=TEXT_NAMES, embed_col=None, embed_names=EMBEDDING_NAMES, k_clusters=10, knn_k=15, mst_cut_ratio=5, mst_k=None, sn_window=40, sn_method="jw", sn_thresh=0.12, svd_dim=100, louvain_min_sim=0.0, cos_thresh=0.88, eval_mode="labeled_only", write_csv=None, label_mode="string") -> Result:
+    """All methods over one table; predictions have id, text_for_matching and a pred_ column a method (F15).
+
+    label_mode: ``string`` compares gold labels as they are, ``as_integer`` truncates them and ignores those that aren't numbers.
+    """
+    given = locals()
     if eval_mode not in ("labeled_only", "singleton_fill"):
         raise ValueError(f"unknown eval_mode: {eval_mode}")
+    if label_mode not in ("string", "as_integer"):
+        raise ValueError(f"unknown label_mode: {label_mode}")
     raw = load_input(spark, data, sheet)
     ec = embed_col.lower() if embed_col else first_present([x.lower() for x in embed_names], raw.columns)
     ec = ec if ec in raw.columns else None
@@ -52,12 +62,13 @@ def unified_pipeline(spark: SparkSession, data, truth=None, sheet=None, id_col=N
             out = filled_labels(out, "cluster_id", "rid")
         out = written(out, "predictions")
         if out.where("cluster_id is not null").limit(2).count() == 2:
-            performance = evaluate(out.where("cluster_id is not null"))
+            performance = evaluate(out.where("cluster_id is not null"), as_integer=label_mode == "as_integer")
     out = out.select("id", "text_for_matching", *found, *(["cluster_id"] if "cluster_id" in out.columns else []))
     if write_csv:
         write_predictions(out, write_csv)
-    params = {"k_clusters": k_clusters, "knn_k": knn_k, "mst_cut_ratio": mst_cut_ratio, "mst_k": mst_k, "sn_window": sn_window, "sn_method": sn_method, "sn_thresh": sn_thresh, "svd_dim": svd_dim, "louvain_min_sim": louvain_min_sim, "cos_thresh": cos_thresh, "eval_mode": eval_mode}
-    return Result(performance, out, {"n": rows.count(), "used_fields": [c for c in texts.columns if c not in ("id", "text_for_matching")], "has_embeddings": bool(ec), "params": params})
+    used = chosen_fields(raw.columns, fields, extra_fields, text_names)
+    params = {k: given[k] for k in PARAMETERS}
+    return Result(performance, out, {"n": rows.count(), "used_fields": used, "has_embeddings": bool(ec), "params": params})
 
 
 def numbered(labels: DataFrame) -> DataFrame:

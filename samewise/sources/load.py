@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,9 @@ def extension(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def sniffed(spark: SparkSession, path: str, lines: int = 20) -> str:
-    """The separator that splits the first lines into the most fields, evenly."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
+def separator(head: list[str]) -> str:
+    """The separator that splits the lines into the most fields, evenly; what is in quotes doesn't count."""
+    head = [re.sub('"[^"]*"', "", x) for x in head if x.strip()]
 
     def worth(sep: str) -> tuple[bool, int]:
         many = [x.count(sep) for x in head]
@@ -40,10 +41,25 @@ def sniffed(spark: SparkSession, path: str, lines: int = 20) -> str:
     return best if worth(best)[1] else ","
 
 
+def sniffed(spark: SparkSession, path: str, lines: int = 20) -> str:
+    """The separator of a file, by its first lines."""
+    return separator([r.value for r in spark.read.text(path).limit(lines).collect()])
+
+
 def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     return spark.read.csv(path, sep=sep or sniffed(spark, path), header=True, inferSchema=True, quote='"', escape='"', nullValue="NA", mode="PERMISSIVE", multiLine=False)
 
 
+def remote(spark: SparkSession, url: str, seconds: float = 60.0) -> DataFrame:
+    """A delimited file behind a URL, fetched by the driver: for tables that its memory holds."""
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=seconds) as answer:
+        lines = answer.read().decode("utf-8-sig").splitlines()
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    return spark.read.csv(rows.rdd.map(lambda r: r.value), sep=separator(lines[:20]), header=True, inferSchema=True, quote='"', escape='"', nullValue="NA")
+
+
 def spreadsheet(spark: SparkSession, path: str, sheet: int | str | None = None) -> DataFrame:
     """One sheet, the first by default; needs openpyxl."""
     import pandas as pd
@@ -56,7 +72,7 @@ def spreadsheet(spark: SparkSession, path: str, sheet: int | str | None = None)
 
 
 def load_input(spark: SparkSession, data, sheet: int | str | None = None) -> DataFrame:
-    """A DataFrame, a pandas frame, a registered key, or a path; names are lower-cased (S-1 to S-5, S-9)."""
+    """A DataFrame, a pandas frame, a registered key, a path, or a URL of a delimited file; names are lower-cased (S-1 to S-5, S-9)."""
     if isinstance(data, DataFrame):
         return lowered(data)
     if hasattr(data, "iloc"):
@@ -66,6 +82,8 @@ def load_input(spark: SparkSession, data, sheet: int | str | None = None) -> Dat
     if data.lower() in DATASETS:
         return lowered(DATASETS[data.lower()](spark))
     ext = extension(data)
+    if data.startswith(("http://", "https://")):
+        return lowered(remote(spark, data))
     if ext in ("xlsx", "xls"):
         return lowered(spreadsheet(spark, data, sheet))
     if ext in ("parquet", "json", "orc"):
