@@ -1,21 +1,25 @@
-"""Best-fit packing of token pieces into sequences of a fixed length, in bulk-synchronous rounds.
-
-Documents are range-sorted by length across the cluster, so those of one length are a run of
-consecutive ranks, and open sequences with one amount of room are runs of sequence numbers. There are at
-most ``max_len`` runs of either kind, whatever the corpus: the sweeps match runs, and the
-documents look up their places by rank afterwards. In every round each run of documents finds its
-successor, the least room that holds it; runs that chose the same gaps are ranked, longest first, and
-take them in that order; the gaps shrink; those left over try again. When no run has a successor, the
-longest one opens sequences.
+"""Best-fit packing of token pieces into sequences of a fixed length, in bulk-synchronous supersteps.
+
+Documents are range-sorted by length across the cluster, so those of one length are a run of consecutive ranks, and
+open sequences with one amount of room are runs of sequence numbers: a sweep moves runs, however many documents
+they stand for. In a superstep the runs of documents and gaps are dealt, in order of size, to stripes that each
+hold an even cross-section. Every stripe is swept by itself on the cluster: each run finds its successor, the least room that
+holds it; runs that meet at one gap take it in order of rank, longest first; the gaps shrink and are offered again. What
+found no gap is dealt anew to fewer stripes with all gaps that are left, and the last superstep opens sequences for the rest.
+The documents then look up their places by length and rank.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import bisect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.operators.shared import arrow_rows, ranked, written
+from samewise.operators.shared import arrow_rows, fresh, ranked, small, written
+
+#: Documents for each stripe of the first superstep, about, and the most stripes there are.
+STRIPE_ROWS, MOST_STRIPES = 1 << 16, 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,79 +56,104 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int =
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, PIECES)
 
 
-def match(counts: dict[int, int], max_len: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Places ``counts[length]`` documents of each length: ((length, first, n, sequence, offset), ...) and the number of sequences.
+def best_fit(docs: list[tuple], gaps: list[tuple], max_len: int, base: int, last: bool) -> tuple[list, list, list]:
+    """One sweep over runs of documents (length, first, n) and of gaps (room, sequence, n): (placed, left, gaps).
 
-    Documents ``first`` to ``first + n - 1`` of the length go to ``n`` sequences from ``sequence`` on, at ``offset``.
+    Runs are taken longest first, those of one length by rank. Each takes the least room that holds it, run by run, and
+    what is left of that room is a gap again. Documents of over half of ``max_len`` open sequences, numbered from
+    ``base``, as nothing of their own kind fits beside them; others without a gap are left, or, in the ``last`` sweep,
+    open as few sequences as hold them. placed: (length, first, n, sequence, offset).
     """
-    left = {k: n for k, n in counts.items() if n}
-    done = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs of (first sequence, number)
-    events, opened = [], 0
-
-    def place(length: int, n: int, room: int, sequence: int) -> None:
-        events.append((length, done[length], n, sequence, max_len - room))
-        done[length] += n
-        left[length] -= n
-        if room > length:
-            gaps.setdefault(room - length, []).append((sequence, n))
-
-    def start(length: int, n: int) -> None:
-        nonlocal opened
-        place(length, n, max_len, opened)
-        opened += n
-
-    for length in sorted((k for k in left if 2 * k > max_len), reverse=True):  # each needs a sequence of its own
-        start(length, left[length])
-    while live := sorted((k for k, n in left.items() if n), reverse=True):
-        rooms = np.array(sorted(gaps))
-        at = np.searchsorted(rooms, live)
-        if at[0] == len(rooms):  # the longest has no gap: it opens as few sequences as hold it
-            start(live[0], -(-left[live[0]] // (max_len // live[0])))
-            continue
-        chosen = [(int(rooms[i]), length) for i, length in zip(at, live, strict=True)]
-        for room, length in chosen:  # longest first
-            while left[length] and gaps.get(room):
-                sequence, n = gaps[room].pop()
-                take = min(n, left[length])
-                if take < n:
-                    gaps[room].append((sequence + take, n - take))
-                place(length, take, room, sequence)
-        for room in [r for r, runs in gaps.items() if not runs]:
-            del gaps[room]
-    return events, opened
-
-
-def pack(parts: DataFrame, max_len: int = 1024, length_col: str = "length") -> DataFrame:
-    """Adds sequence_id and offset to rows with a length of 1 to ``max_len``; an empty table stays empty.
-
-    Equal lengths are told apart by the other columns' order, so reruns give the same sequences.
+    rooms: dict[int, list[tuple[int, int]]] = {}
+    for room, sequence, n in gaps:
+        rooms.setdefault(room, []).append((sequence, n))
+    order = sorted(rooms)
+    placed, left = [], []
+
+    def put(length: int, first: int, n: int, sequence: int, room: int) -> None:
+        placed.append((length, first, n, sequence, max_len - room))
+        if rest := room - length:
+            if rest not in rooms:
+                rooms[rest] = []
+                bisect.insort(order, rest)
+            rooms[rest].append((sequence, n))
+
+    for length, first, n in sorted(docs, key=lambda d: (-d[0], d[1])):
+        while n:
+            i = bisect.bisect_left(order, length)
+            if i < len(order):
+                room = order[i]
+                sequence, m = rooms[room].pop()
+                take = min(n, m)
+                if take < m:
+                    rooms[room].append((sequence + take, m - take))
+                elif not rooms[room]:
+                    del rooms[order.pop(i)]
+                put(length, first, take, sequence, room)
+            elif last or 2 * length > max_len:
+                take = -(-n // (max_len // length))
+                put(length, first, take, base, max_len)
+                base += take
+            else:
+                left.append((length, first, n))
+                break
+            first, n = first + take, n - take
+    return placed, left, [(room, sequence, n) for room, runs in rooms.items() for sequence, n in runs]
+
+
+def _dealt(runs: DataFrame, stripes: int) -> DataFrame:
+    """Each run (kind, size, at, n, into) in ``stripes`` parts of about its length over their number."""
+    cut = runs.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).withColumn("skip", F.expr(f"n * stripe div {stripes}"))
+    many = F.expr(f"n * (stripe + 1) div {stripes}") - F.col("skip")
+    return cut.select("stripe", "kind", "size", (F.col("at") + F.col("skip")).alias("at"), many.alias("n")).where("n > 0")
+
+
+def placements(runs: DataFrame, total: int, max_len: int, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """(size, at, n, sequence, place): where the documents of runs (size, at, n) go; size is their length, at the first one's rank.
+
+    Supersteps: documents and gaps, in order of size, are dealt to stripes that each see every size; the stripes sweep by
+    themselves, and what they leave, documents and gaps, is dealt to fewer stripes, until the last one opens sequences for
+    all that still has none.
     """
-    spark = parts.sparkSession
-    keys = [length_col, *[c for c in parts.columns if c != length_col]]
-    rows = ranked(parts, keys, "_rank")
-    counts = {r[0]: r[1] for r in parts.groupBy(length_col).count().collect()}  # max_len rows at most
-    if any(k < 1 or k > max_len for k in counts):
-        raise ValueError(f"lengths must be from 1 to {max_len}")
-    events, _ = match(counts, max_len)
-    first, total = {}, 0
-    for k in sorted(counts):
-        first[k], total = total, total + counts[k]
-    table = np.array(sorted((first[k] + done, sequence, offset) for k, done, _, sequence, offset in events), np.int64).reshape(-1, 3)
-    shared = spark.sparkContext.broadcast(table)
-
-    def place(batches):
-        import pyarrow as pa
+    schema = "kind string, size long, at long, n long, sequence long, place long"
+    stripes, step, now, found = int(min(MOST_STRIPES, max(1, total // stripe_rows))), 0, runs.select(F.lit("doc").alias("kind"), "size", "at", "n"), None
+    while True:
+        own, last = step, stripes == 1
 
-        t = shared.value
-        for b in batches:
-            rank = b.column(b.schema.get_field_index("_rank")).to_numpy()
-            i = np.searchsorted(t[:, 0], rank, "right") - 1
-            kept = b.select([n for n in b.schema.names if n != "_rank"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(t[i, 1] + rank - t[i, 0]), pa.array(t[i, 2])], [*kept.schema.names, "sequence_id", "offset"])
+        def sweep(pdf):
+            import pandas as pd
+
+            rows = {k: list(zip(*(pdf[pdf.kind == k][c].tolist() for c in ("size", "at", "n")), strict=True)) for k in ("doc", "gap")}
+            placed, left, gaps = best_fit(rows["doc"], rows["gap"], max_len, (own << 52) + (int(pdf.stripe.iloc[0]) << 42), last)
+            out = [("placed", *r) for r in placed] + [("doc", *r, 0, 0) for r in left] + [("gap", *r[:1], r[1], r[2], 0, 0) for r in gaps]
+            return pd.DataFrame(out, columns=["kind", "size", "at", "n", "sequence", "place"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return rows.select(*parts.columns, "_rank").mapInArrow(place, schema)
+        out = written(_dealt(now, stripes).groupBy("stripe").applyInPandas(sweep, schema), "sweep")
+        got = out.where("kind = 'placed'").drop("kind")
+        found = got if found is None else found.unionByName(got)
+        if last:
+            return found
+        now, step, stripes = out.where("kind <> 'placed'").select("kind", "size", "at", "n"), step + 1, max(1, stripes // 8)
+
+
+def pack(parts: DataFrame, max_len: int = 1024, length_col: str = "length", stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """Adds sequence_id and offset, in place of columns of these names, to rows with a length of 1 to ``max_len``.
+
+    Other lengths are an error; an empty table stays empty. Equal lengths are told apart by the other columns' order, so reruns
+    give the same sequences. Rows that are equal in all columns have places of their own.
+    """
+    parts = parts.drop("sequence_id", "offset")
+    keys = [length_col, *[c for c in parts.columns if c != length_col]]
+    rank = fresh(parts, "rank")
+    rows = ranked(parts, keys, rank)
+    runs = written(rows.groupBy(F.col(length_col).cast("long").alias("size")).agg(F.min(rank).alias("at"), F.count("*").alias("n")), "runs")  # max_len rows at most
+    seen = runs.agg(F.min("size").alias("low"), F.max("size").alias("high"), F.sum("n").alias("n"), F.count("*").alias("lengths")).first()
+    if seen.lengths and (seen.low is None or seen.low < 1 or seen.high > max_len):
+        raise ValueError(f"lengths must be from 1 to {max_len}")
+    size, at, n, sequence, place = (fresh(parts, x) for x in ("size", "at", "n", "sequence", "place"))
+    table = written(placements(runs, seen.n or 0, max_len, stripe_rows).toDF(size, at, n, sequence, place), "placements")
+    joined = rows.join(small(table), (F.col(length_col) == F.col(size)) & (F.col(rank) >= F.col(at)) & (F.col(rank) < F.col(at) + F.col(n)))
+    return joined.select(*[f"`{c}`" for c in parts.columns], (F.col(sequence) + F.col(rank) - F.col(at)).alias("sequence_id"), F.col(place).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
