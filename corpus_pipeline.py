@@ -8,36 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
-from samewise.operators.shared import shared_folder
+from samewise.operators.shared import fresh, shared_folder
 
 #: Documents that score as high or higher are rejected.
 TOXIC = 0.7
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't score as toxic, by a model of the table ``labels`` and the texts of ``docs``."""
+    """Documents that don't score as toxic, by a model of the table ``labels`` and the texts of ``docs``.
+
+    Every row is scored by its whole text, null as empty; ids may be null or repeat; without labels none is rejected; an empty
+    table stays empty. Other columns are kept as they are.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    mark = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, score_col=mark).where(F.col(mark) < TOXIC).drop(mark)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest id."""
+    """One document of each group of equal texts, the one with the smallest id; null texts are empty, of rows alike in id and text one stays."""
     return exact_dedup.survivors(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similar shingle sets connect, the one with the smallest id."""
+    """One document of each group that links of similar shingle sets connect, the one with the smallest id.
+
+    Texts without words, null ones too, stay; so do rows with a null id; rows that repeat an id stay or go together.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's rate asks for."""
+    """Each document as many times as its source's rate asks for; a null source is a source, a null text has no words."""
     return mixing.emitted(mixing.mix(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, copies too, in sequences of 1024 tokens."""
+    """Pieces of all documents, copies too, in sequences of 1024 tokens; a null or empty text is the end's id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

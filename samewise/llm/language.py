@@ -8,7 +8,6 @@ for each byte and place, or for a pair of bytes, so a convolution is a few look-
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.labelled import remainder, sampled
-from samewise.operators.shared import arrow_rows
+from samewise.operators.shared import arrow_rows, fresh
 
 #: Documents of each language that the network is fitted on, at most, and windows of each.
 PER_LANG, WINDOWS_PER_DOC = 1000, 4
@@ -25,7 +24,6 @@ LENGTH, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 STEPS, BATCH = 500, 128
 #: Windows that are evaluated at once.
 AT_ONCE = 128
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def cut(data: bytes) -> np.ndarray:
@@ -146,7 +144,7 @@ class Network:
                 np.add.at(many, who, 1)
             held, owners, n = [], [], 0
 
-        known = [bool(self.langs) and t is not None and _LETTER.search(t) is not None for t in texts]
+        known = [bool(self.langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
         for i, t in enumerate(texts):
             if known[i]:
                 held.append(cut(t.encode("utf-8", "surrogatepass")))
@@ -177,7 +175,12 @@ def fit(docs: DataFrame, label_col: str = "lang", per_lang: int = PER_LANG, id_c
 
 
 def predict(docs: DataFrame, net: Network, text_col: str = "text", label_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` with the language of each whole text (`und` where there is no letter, or nothing was learned) and a score from 0 to 1."""
+    """``docs`` with the language of each whole text (`und` where there is no letter, or nothing was learned) and a score from 0 to 1.
+
+    Letters are characters of Unicode's categories L. Texts of any length are cut into windows, all of which count; null and
+    empty texts are `und` with score 0; rows are scored one by one, so ids may be null or repeat; an empty table stays
+    empty. Columns of the added names are replaced.
+    """
     spark = docs.sparkSession
     arrow_rows(spark, 500)
     shared = spark.sparkContext.broadcast(net)
@@ -190,7 +193,8 @@ def predict(docs: DataFrame, net: Network, text_col: str = "text", label_col: st
             langs, scores = own.predict(s.tolist(), tables)
             yield pd.DataFrame({label_col: langs, score_col: scores})
 
-    return docs.withColumn("_found", run(F.col(text_col))).withColumns({label_col: F.col("_found")[label_col], score_col: F.col("_found")[score_col]}).drop("_found")
+    found = fresh(docs, "found")
+    return docs.withColumn(found, run(F.col(text_col))).withColumns({label_col: F.col(found)[label_col], score_col: F.col(found)[score_col]}).drop(found)
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id", m: int = 4, held: int = 2) -> DataFrame:

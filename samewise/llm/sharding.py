@@ -35,6 +35,8 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     ranges of shard and id, so a large shard is many tasks.
     """
     text, id_ = F.coalesce(docs[text_col].cast("string"), F.lit("")), docs[id_col]
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int"):
+        id_ = id_.cast("long")  # a key's hash must not depend on how wide its column is
     narrow = docs.select(
         id_.alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),

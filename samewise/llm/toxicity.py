@@ -26,6 +26,8 @@ from samewise.operators.shared import arrow_rows
 PER_CLASS = 2000
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 12
 ROUNDS, EPOCHS = 4, 2
+#: Steps of a round at least: few labels are gone through more often.
+STEPS = 200
 _EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_"
 MEMO_ENTRIES = 400_000
 #: Windows of a document that a round learns from, at most: of a toxic one, of a clean one.
@@ -118,7 +120,7 @@ class Model:
                     want.append(int(labels[i]))
             want = np.array(want)
             weigh = np.where(want == 1, 0.5 / max(1, want.sum()), 0.5 / max(1, (1 - want).sum())) * len(want)
-            for _ in range(EPOCHS):
+            for _ in range(max(EPOCHS, -(-64 * STEPS // max(1, len(chosen))))):
                 order = r.permutation(len(chosen))
                 for k in range(0, len(order), 64):
                     self._step([chosen[i] for i in order[k : k + 64]], want[order[k : k + 64]], weigh[order[k : k + 64]], flat, first, size, state)
@@ -200,7 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of each whole text; null is as empty. A column of that name is replaced."""
+    """``docs`` with a score from 0 to 1 of each whole text; null is as empty. A column of that name is replaced.
+
+    Texts of any length are read window by window and score as their worst one; rows are scored one by one, so ids may be
+    null or repeat; an empty table stays empty.
+    """
     spark = docs.sparkSession
     arrow_rows(spark, 500)
     shared = spark.sparkContext.broadcast(model)  # 2 MB, whatever the input
