@@ -79,3 +79,147 @@ def test_windows_cross_thin_partitions(spark, monkeypatch):
     links = (v @ v.T >= 0.93).sum(1) - 1
     got = {x.vec_id: x.n_links for x in embedding_dedup.embedding_classes(df, miss=0.5).collect()}
     assert [got[i] for i in range(120)] == links.tolist()
+
+
+ODD = [(1, None, None, "x"), (2, "", "a", "x"), (3, "a  b\tc", "a", None), (4, "a b c", "b", "x"), (4, "a b c", "b", "x"), (None, "a b c", "b", "x"), (5, "long words " * 4000, "b", "x"), (None, None, None, None)]
+
+
+def test_exact_dedup_of_hot_groups_and_clashing_names(spark, monkeypatch):
+    rows = [(i, "same text  here" if i % 3 == 0 else f"text {i % 40}", "s", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _salt string, n long")
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(" ".join(t.split()), []).append(i)
+    want = {(i, min(g), len(g), i == min(g)) for g in groups.values() for i in g}
+    for limit in (16 << 20, -1):  # with groups broadcast, and joined in salted parts
+        monkeypatch.setattr("samewise.operators.shared.BROADCAST_BYTES", limit)
+        got = exact_dedup.exact_dedup(df)
+        assert got.columns[:4] == df.columns and {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()} == want
+        kept = exact_dedup.survivors(df)
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in groups.values())
+    odd = spark.createDataFrame(ODD, DOCS)
+    assert sorted((r.doc_id for r in exact_dedup.survivors(odd).collect()), key=str) == [1, 3, 5]
+    assert exact_dedup.survivors(odd.limit(0)).collect() == []
+
+
+def plain_best_fit(lengths, room):
+    import bisect
+
+    free, opened = [], 0
+    for k in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(free, k)
+        opened += i == len(free)
+        bisect.insort(free, (room if i == len(free) else free.pop(i)) - k)
+    return opened
+
+
+@pytest.mark.parametrize("stripe_rows", [1 << 16, 300, 40])
+def test_packing_in_stripes(spark, stripe_rows):
+    r = random.Random(7)
+    lengths = [max(1, min(128, int(r.choice([r.gauss(40, 12), r.gauss(90, 20), r.randint(1, 30), 128])))) for _ in range(2500)]
+    df = spark.createDataFrame([(i, n, "a", -1, i) for i, n in enumerate(lengths)], "_rank long, length int, offset string, sequence_id long, size long")
+    out = packing.pack(df, 128, stripe_rows=stripe_rows)
+    assert out.columns == ["_rank", "length", "size", "sequence_id", "offset"]
+    rows, ends = out.orderBy("sequence_id", "offset").collect(), {}
+    for x in rows:
+        assert x.offset == ends.get(x.sequence_id, 0) and x.length == lengths[x._rank]
+        ends[x.sequence_id] = x.offset + x.length
+    assert len(rows) == 2500 and max(ends.values()) <= 128
+    assert len(ends) <= 1.005 * plain_best_fit(lengths, 128) + (stripe_rows < 100)
+
+
+def test_best_fit_places_every_document():
+    r = random.Random(8)
+    for shape in (lambda k: r.randint(0, 9), lambda k: 900 // k, lambda k: int(40 * 2.7 ** -(((k - 70) / 20) ** 2))):
+        runs = [(k, 1000 * k, n) for k in range(1, 257) if (n := shape(k))]
+        placed, left, _ = packing.best_fit(runs, [], 256, 0, True)
+        assert not left and {k: sum(p[2] for p in placed if p[0] == k) for k, _, _ in runs} == {k: n for k, _, n in runs}
+        used = {}
+        for k, first, n, sequence, place in placed:
+            for s in range(sequence, sequence + n):
+                used.setdefault(s, []).append((place, k))
+        for parts in used.values():
+            at = 0
+            for place, k in sorted(parts):
+                assert place == at
+                at += k
+            assert at <= 256
+        assert len(used) <= 1.005 * plain_best_fit([k for k, _, n in runs for _ in range(n)], 256)
+
+
+def test_languages_without_letters(spark):
+    rows = [(i, ("the river and the stone " if i % 2 else "der stein und nicht der fluss ") * 9, "en" if i % 2 else "de", "x") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, _found string")
+    net = language.fit(d)
+    odd = spark.createDataFrame([(1, "² ½ Ⅷ 12_", "a", "x"), (None, None, "b", "x"), (1, "", "c", "x"), (3, "the river and the stone " * 20000, "d", "x")], "doc_id long, text string, lang string, _found string")
+    got = language.predict(odd, net)
+    assert got.columns == [*odd.columns, "lang_pred", "score"]
+    assert [(x.lang, x.lang_pred) for x in got.collect()] == [("a", "und"), ("b", "und"), ("c", "und"), ("d", "en")]
+
+
+def test_scores_of_odd_rows(spark):
+    docs = spark.createDataFrame([(i, ("nice words here " if i % 2 else "stupid words here ") * 5, "s", "x") for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame(ODD, DOCS)
+    model = toxicity.fit(docs, labels)
+    assert [x.score > 0.5 for x in toxicity.score(spark.createDataFrame([(1, "you stupid thing", "s", "x"), (1, "nice thing " * 9000, "s", "x")], DOCS), model).collect()] == [True, False]
+    assert toxicity.score(odd, model).count() == len(ODD) and all(0 <= x.score <= 1 for x in toxicity.score(odd, model).collect())
+    described = quality.described(docs)
+    fit = quality.fit(described, labels)
+    assert all(0 <= x.score <= 1 for x in quality.score(quality.described(odd), fit).collect())
+
+
+def test_shards_of_wide_and_narrow_ids(spark):
+    rows = [(i, None if i % 9 == 0 else f"t{i}") for i in range(200)]
+    wide, narrow = (spark.createDataFrame(rows, f"doc_id {kind}, text string") for kind in ("long", "int"))
+    assert sorted(map(tuple, sharding.shard(wide, [1.0] * 8).collect()), key=str) == sorted(map(tuple, sharding.shard(narrow, [1.0] * 8).collect()), key=str)
+
+
+def test_rendezvous_equals_the_least_bid(spark):
+    """Each key's shard is the one with the least bid, computed one by one."""
+    import math
+
+    weights, df = [1.0, 0.0, 2.5], spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    hashes = df.select("doc_id", *[F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(s)), 12).alias(f"h{s}") for s in range(3)]).collect()
+    got = {x.doc_id: x.s for x in df.select("doc_id", sharding.rendezvous(F.col("doc_id"), weights).alias("s")).collect()}
+    for x in hashes:
+        bids = {s: -math.log((x[f"h{s}"] + 0.5) / 2.0**52) / w for s, w in enumerate(weights) if w}
+        assert got[x.doc_id] == min(bids, key=bids.get)
+
+
+def test_one_of_each_leaves_clean_documents(spark):
+    r = random.Random(9)
+    base = [[f"w{r.randint(0, 500)}" for _ in range(60)] for _ in range(8)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 8] if i % 2 else [f"v{i}x{k}" for k in range(40)])
+        if i % 4 == 1:
+            w[r.randrange(60)] = "changed"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame([(*x, None, "x") for x in rows] + [(500, None, None, "x"), (501, " ", None, "x")], DOCS)
+    want = {i for i, (_, c) in brute_classes([*rows, (500, None), (501, " ")]).items() if c == i}
+    assert {x.doc_id for x in jaccard_join.one_of_each(df).collect()} == want
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows and an empty table; clean documents stay."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = [(i, f"plain words about topic {i} and some more of them number {i * 7}", "en", f"s{i % 3}", 0) for i in range(40)]
+    docs += [(100, None, None, None, None), (101, "", "en", "s1", 0), (None, "a text without any id at all", "en", "s1", 0), (7, docs[7][1], "en", "s1", 0), (102, "very long text " * 5000, "en", "s2", 0)]
+    labels = [(i, 1, int(i >= 36)) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    d = f"file://{tmp_path}"
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, spark.createDataFrame(docs, schema), d)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        if name == "exact_dedup":
+            kept = out.collect()
+            assert len(kept) == len(docs) - 2 and sum(x.doc_id == 7 for x in kept) == 1
+        if name == "jaccard_join":
+            assert {x.doc_id for x in out.collect()} >= {*range(40), 100, 101, 102}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), d).count() == 0, name
+    packed = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame(docs, schema), d)
+    assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} == {x[0] for x in docs}

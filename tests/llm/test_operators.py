@@ -1,4 +1,3 @@
-import bisect
 import random
 import zlib
 
@@ -67,16 +66,6 @@ def test_packing(spark):
         if r.doc_id == 5:
             assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
     assert packing.pack_documents(df.limit(0), TOKENIZER).count() == 0
-    counts = {k: random.Random(k).randint(0, 40) for k in range(1, 65)}
-    events, opened = packing.match(counts, 64)
-    assert {k: sum(e[2] for e in events if e[0] == k) for k in counts} == counts
-    free, best = [], 0  # best fit, longest first, one document at a time
-    for k in sorted(counts, reverse=True):
-        for _ in range(counts[k]):
-            i = bisect.bisect_left(free, k)
-            best += i == len(free)
-            bisect.insort(free, (64 if i == len(free) else free.pop(i)) - k)
-    assert opened <= 1.005 * best
 
 
 def test_exact_dedup(spark):
