@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.shingles import fingerprint, shingle_sets
+from samewise.llm.shingles import fingerprint, halves, shingle_sets
 from samewise.operators.components import components
 from samewise.operators.shared import arrow_rows, dropped, small, written
 
@@ -129,20 +129,37 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sig) for every document."""
+def _signed(docs: DataFrame, taken: frozenset) -> DataFrame:
+    """(doc_id, n_shingles, sig, check) for every document."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             sets = list(shingle_sets(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "sig"])
+            both = [halves(s) for s in sets]
+            sig = [y if x in taken else x for x, y in both]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array([x ^ y for x, y in both], pa.int64())], ["doc_id", "n_shingles", "sig", "check"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, check long")
 
 
-def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredths: int) -> DataFrame:
+def _told_apart(docs: DataFrame) -> tuple[DataFrame, frozenset]:
+    """The written table of ``_signed`` in which no two sets share a number, and the numbers that two sets would have shared.
+
+    Of a billion documents, less than one pair shares a number by chance.
+    """
+    taken: frozenset = frozenset()
+    while True:
+        signed = written(_signed(docs, taken), "signed")
+        seen = signed.groupBy("sig").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("sig")
+        if not (shared := frozenset(r.sig for r in seen.collect())) - taken:
+            return signed, taken
+        dropped(signed)
+        taken |= shared
+
+
+def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredths: int, taken: frozenset) -> DataFrame:
     """(bucket, payload): the postings of the short lists, a payload for each bucket and unit of documents."""
     shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
 
@@ -172,7 +189,7 @@ def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredt
         sigs, sizes, prefixes, held = [], [], [], 0
         for b in batches:
             for s in shingle_sets(b.column(0)):
-                if not len(s) or (sig := fingerprint(s)) in seen:
+                if not len(s) or (sig := fingerprint(s, taken)) in seen:
                     continue
                 seen.add(sig)
                 keep = len(s) - -(-hundredths * len(s) // 100) + 1
@@ -266,7 +283,7 @@ def _merge_lists(hundredths: int):
     return run
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, taken: frozenset) -> DataFrame:
     """(sig, shingles) for the documents in ``ids`` (doc_id): the sorted hashes as bytes."""
 
     def run(batches):
@@ -274,7 +291,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
         for b in batches:
             sets = list(shingle_sets(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s, taken) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
 
     return docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "sig long, shingles binary")
 
@@ -409,10 +426,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     arrow_rows(spark, 500)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = written(_signed(docs), "signed")
+    signed, taken = _told_apart(docs)
     groups = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    postings = _short_lists(docs, _sketch(docs), buckets, hundredths).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    postings = _short_lists(docs, _sketch(docs), buckets, hundredths, taken).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
     shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
     big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
@@ -422,7 +439,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(shared.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(in_big.select("sig")).distinct()
     ids = written(groups.join(wanted, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
-    sets = written(_sets(docs, small(ids)), "sets")
+    sets = written(_sets(docs, small(ids), taken), "sets")
     links = written(_search(pairs, sets, hundredths), "links")
     if not in_big.isEmpty():
         bits = written(_bitmaps(sets), "bitmaps")

@@ -92,6 +92,13 @@ def shingle_sets(texts) -> Iterator[np.ndarray]:
         i = j
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A signed 64-bit hash of a set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def fingerprint(hashes: np.ndarray, taken: frozenset = frozenset()) -> int:
+    """A signed 64-bit hash of a set: half of a 128-bit one, the other half if the first is in ``taken``."""
+    first, second = halves(hashes)
+    return second if first in taken else first
+
+
+def halves(hashes: np.ndarray) -> tuple[int, int]:
+    """The two signed 64-bit halves of a set's hash."""
+    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
