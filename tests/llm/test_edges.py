@@ -223,3 +223,129 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert stage(spark, spark.createDataFrame([], schema), d).count() == 0, name
     packed = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame(docs, schema), d)
     assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} == {x[0] for x in docs}
+
+
+def test_isotonic_equals_the_plain_formula():
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        rows = r.integers(1, 6, 12).astype(float)
+        ones = np.array([r.integers(0, n + 1) for n in rows], float)
+        want = [max(min(ones[a : b + 1].sum() / rows[a : b + 1].sum() for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]
+        assert np.allclose(quality.isotonic(ones, rows), want)
+
+
+def test_ridge_equals_the_plain_solution(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice(["good", "Bad!!", "1234", "words,"]) for _ in range(r.randint(1, 60))), "s", "x") for i in range(120)]
+    labels = [(i, int("1234" in t[:20])) for i, t, *_ in docs]
+    described = quality.described(spark.createDataFrame(docs, DOCS).repartition(5))
+    model = quality.fit(described, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rows = sorted((x.doc_id, np.frombuffer(x.stats)) for x in described.select("doc_id", "stats").collect())
+    x, y = np.stack([s for _, s in rows]), np.array([z for _, z in sorted(labels)], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6), atol=1e-7)
+    z = model.features(x)
+    a, b = z.T @ z + quality.RIDGE * len(x) * np.eye(z.shape[1]) / quality.FEATURES, z.T @ y
+    assert np.allclose(a @ model.weights, b, atol=1e-6)
+    bins = model.bins(x)
+    assert np.allclose(model.steps, quality.isotonic(np.bincount(bins, y, quality.BINS), np.bincount(bins, minlength=quality.BINS)))
+
+
+def test_gradients_of_the_network():
+    r = np.random.default_rng(7)
+    net = language.Network(["a", "b", "c"])
+    for p in net._params():
+        p[...] += (r.standard_normal(p.shape) * 0.05).astype(np.float32)
+    x, y = r.integers(0, 256, (6, language.LENGTH)).astype(np.uint8), r.integers(0, 3, 6)
+
+    def loss():
+        return -np.mean([net.log_probs(x, net.tables())[i, y[i]] for i in range(6)])
+
+    for p, g in zip(net._params(), net._grads(x, y), strict=True):
+        place = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, h = p[place], 1e-2
+        p[place] = old + h
+        up = loss()
+        p[place] = old - h
+        down = loss()
+        p[place] = old
+        assert abs((up - down) / (2 * h) - g[place]) < 0.05 * abs(g[place]) + 2e-3
+
+
+def test_toxic_scores_equal_the_plain_average():
+    r = random.Random(8)
+    words = ["nice", "day", "stupid", "stup1d", "tree", "house", "walk"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    labels = np.array([int("stup" in t) for t in texts])
+    model = toxicity.Model().fit(texts, labels, np.ones(60))
+    score = model.scorer()
+    pull = model.table @ (model.soft[:, 1] - model.soft[:, 0])
+    for t in texts:
+        w, best = t.split(), -np.inf
+        begins = [0] if len(w) <= 12 else range(0, len(w) - 6, 6)
+        for b in begins:
+            seen = dict.fromkeys(w[b : b + 12])
+            best = max(best, sum(np.mean(pull[toxicity.subwords(x)]) for x in seen) / 12 + model.bias[1] - model.bias[0])
+        assert score(t) == pytest.approx(1 / (1 + np.exp(-(model.slope * best + model.shift))), abs=1e-5)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage's rows against a plain version of it on the rows that it got."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(10)
+    words = [f"wo{k}" for k in range(300)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.choice([3, 40, 90, 700]))), "en", f"s{i % 4}", 0) for i in range(90)]
+    docs += [(200 + i, docs[i][1].replace(" ", "  "), "en", "s1", 0) for i in range(0, 30, 2)]
+    docs += [(300 + i, docs[i][1].replace("wo7 ", "wo8 ") + " end", "en", "s2", 0) for i in range(1, 30, 2)]
+    docs = [(i, t + " stupid" if i % 9 == 0 else t, *rest) for i, t, *rest in docs]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, 1, int(t.endswith("stupid"))) for i, t, *_ in docs], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    now, d, seen = spark.createDataFrame(docs, schema), f"file://{tmp_path}", {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = f"file://{tmp_path}/{name}"
+        stage(spark, now, d).write.parquet(path)
+        now = spark.read.parquet(path)
+        seen[name] = sorted(map(tuple, now.collect()))
+    rate = toxicity.fit(spark.createDataFrame(docs, schema), spark.read.parquet(f"{d}/labels.parquet")).scorer()
+    assert {x[0] for x in seen["toxicity"]} == {i for i, t, *_ in docs if rate(t) < corpus_pipeline.TOXIC}
+    assert {i for i, t, *_ in docs if not t.endswith("stupid")} <= {x[0] for x in seen["toxicity"]} and len(seen["toxicity"]) <= len(docs) - 10
+    first = {}
+    for i, t, *_ in seen["toxicity"]:
+        first.setdefault(" ".join(t.split()), i)
+    assert {x[0] for x in seen["exact_dedup"]} == set(first.values())
+    assert {x[0] for x in seen["jaccard_join"]} == {i for i, (_, c) in brute_classes([(x[0], x[1]) for x in seen["exact_dedup"]]).items() if c == i}
+    sizes, taken = {}, {}
+    for x in seen["jaccard_join"]:
+        sizes[x[3]] = sizes.get(x[3], 0) + len(x[1].split())
+    for x in seen["mixing"]:
+        taken[x[0]] = taken.get(x[0], 0) + 1
+    goal = filled(sizes)
+    for x in seen["jaccard_join"]:
+        rate = goal[x[3]] / sizes[x[3]]
+        assert int(rate + 1e-9) <= taken.get(x[0], 0) <= int(rate) + 1
+    coder, pieces = Tokenizer.from_file(TOKENIZER), {}
+    for x in seen["mixing"]:
+        n = len(coder.encode(x[1], add_special_tokens=False).ids) + 1
+        cuts = [n % 1024 or 1024] + [1024] * ((n - 1) // 1024)
+        for k, size in enumerate(cuts):
+            pieces[x[0], k, size] = pieces.get((x[0], k, size), 0) + 1
+    got, ends = {}, {}
+    for x in now.orderBy("sequence_id", "offset").collect():
+        got[x.doc_id, x.piece, x.length] = got.get((x.doc_id, x.piece, x.length), 0) + 1
+        assert x.offset == ends.get(x.sequence_id, 0)
+        ends[x.sequence_id] = x.offset + x.length
+    assert got == pieces and max(ends.values()) <= 1024
+    assert len(ends) <= 1.005 * plain_best_fit([k[2] for k, n in pieces.items() for _ in range(n)], 1024) + 1
+
+
+def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
+    from samewise.llm import shingles
+
+    whole = shingles.halves
+    monkeypatch.setattr(shingles, "halves", lambda h: (whole(h)[0] % 5, whole(h)[1]))
+    monkeypatch.setattr(jaccard_join, "halves", shingles.halves)
+    rows = [(i, " ".join(f"t{i // 2}w{k}" for k in range(30)) + (" end" if i % 2 else "")) for i in range(40)]
+    df = spark.createDataFrame([(*x, None, "x") for x in rows], DOCS).coalesce(1)
+    signed, taken = jaccard_join._told_apart(df.select("doc_id", "text"))
+    assert taken and signed.select("sig").distinct().count() == 40
