@@ -221,6 +221,9 @@ CASE WHEN a = b THEN 0.0::DOUBLE ELSE round(1 - list_sum(list_transform(range(le
     "sorted_neighbourhood": f"WITH {NEAR} SELECT src, dst FROM l",
     "sorted_neighbourhood_clusters": f"""WITH RECURSIVE {NEAR}, e AS (SELECT DISTINCT x, y FROM l UNION SELECT DISTINCT y, x FROM l), r(t, o) AS (SELECT DISTINCT t, t FROM n UNION SELECT r.t, e.y FROM r JOIN e ON r.o = e.x),
 m AS (SELECT r.t, min(n.rid) AS label FROM r JOIN n ON n.t = r.o GROUP BY 1) SELECT n.rid, m.label FROM n JOIN m USING (t)""",
+    "graph_components_whole": """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.s, b.s AS t FROM l a JOIN l b USING (p)),
+r(s, t) AS (SELECT s, s FROM l UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s), m AS (SELECT s, min(t) AS c FROM r GROUP BY 1)
+SELECT s AS node, c AS component FROM m UNION ALL SELECT p + 1000000, min(c) FROM l JOIN m USING (s) GROUP BY 1""",
     "delimited_files": "SELECT ext, n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n_nationkey % 4 <> 0 THEN n_regionkey::BIGINT END AS n_region FROM nation, (VALUES ('csv'), ('tsv'), ('psv'), ('txt')) v(ext)",
     "truth_path": """WITH c AS (SELECT 'n' || s_nationkey AS k, 's' || s_suppkey AS o FROM supplier), m AS (SELECT k AS id, k FROM c UNION SELECT o, k FROM c)
 SELECT id, CAST(dense_rank() OVER (ORDER BY k) AS INTEGER) AS cluster_id FROM m""",
