@@ -64,3 +64,22 @@ def test_shuffle_files_go_with_the_write(spark):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_neighbourhood_of_copies(spark):
+    names = [f"{a} {b}" for a in ("red", "blue", "green") for b in ("bolt", "nut", "rod")]
+    df = spark.createDataFrame([(i, names[i * i % 7]) for i in range(400)], "rid long, text string")
+    star, links = C.neighbourhood_links(df, spanning=True), C.neighbourhood_links(df)
+    assert star.count() < 400 < 10 * 400 < links.count()
+    assert {x.rid: x.label for x in C.neighbourhood_clusters(df).collect()} == {x.rid: x.label for x in C.labelled(df, links).collect()}
+
+
+def test_roots():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 0), (50, 20), (50, 49), (300, 150)):
+        i, j = r.integers(0, n, m), r.integers(0, n, m)
+        want = np.arange(n)
+        for _ in range(n):
+            for a, b in zip(i, j, strict=True):
+                want[a] = want[b] = min(want[a], want[b])
+        assert C.roots(n, i, j).tolist() == want.tolist()
