@@ -2,11 +2,10 @@
 
 Each pass hashes every vector with random hyperplanes of its own into a string of 63 signs and orders the
 vectors of a label by it; neighbours within a bounded window of that order are compared exactly. Pairs
-verified in any pass are united. The number of passes follows from the size of the largest label and from how
-far a sample of each label shares prefixes of keys, so that a pair at the threshold is missed by all of them with
-a set probability; labels whose vectors lean one way so far that this takes many passes are compared whole, in
-blocks. A window may miss links inside a
-large group, so the vectors of each component are then compared with each other in blocks, which only
+verified in any pass are united. The number of passes of a label follows from its size and from how
+far a sample of it shares prefixes of keys, so that a pair at the threshold is missed by all of them with
+a set probability; labels whose vectors lean one way or crowd so far that this takes many times the passes are compared whole, in
+blocks, whatever their size. A window may miss links inside a large group, so the vectors of each component are then compared with each other in blocks, which only
 emit counts; components are split into blocks of a fixed size, whatever their own.
 """
 
@@ -18,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samewise.operators.clusterers import roots
 from samewise.operators.components import components
 from samewise.operators.shared import small, written
 
@@ -32,6 +32,10 @@ BITS = 63
 BLOCK = 512
 #: Vectors of a label, about, and passes over them from which its need of passes is measured.
 SAMPLE, TRIALS = 2048, 16
+#: Times the formula's passes; labels that need more are compared whole, in blocks of so many vectors.
+LEAN, WHOLE_BLOCK = 2, 1024
+#: Bytes, about, of hyperplanes that a task keeps.
+PLANES_BYTES = 64 << 20
 #: Rows of a sorted partition.
 PARTITION_ROWS = 20_000
 
@@ -129,7 +133,7 @@ def _distinct(vectors: DataFrame, id_col: str, vector_col: str, label_col: str,
 
 
 def _needs(distinct: DataFrame, threshold: float, window: int, miss: float, seed: int, kind: str) -> DataFrame:
-    """(label, width, n, passes, whole): the passes each label's vectors of one length need; whole: blocks take fewer copies of them."""
+    """(label, width, n, passes, whole): the passes each label's vectors of one length need; whole: they lean, at any size."""
     rows = distinct.select("label", (F.length("vec") / int(kind[2])).cast("int").alias("width"), "rep", "vec")
     sizes = written(rows.groupBy("label", "width").agg(F.count("*").alias("n")), "sizes")
     drawn = rows.join(small(sizes), ["label", "width"]).where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 40)) < F.lit(float(1 << 40)) * SAMPLE / F.col("n"))
@@ -141,8 +145,7 @@ def _needs(distinct: DataFrame, threshold: float, window: int, miss: float, seed
         x = np.stack([_unpacked(v, kind) for v in pdf.sort_values("rep").vec])
         plain = passes_needed(n, threshold, window, miss)
         passes = max(plain, passes_measured(x, n, threshold, window, miss, seed))
-        whole = passes > 2 * plain and -(-n // BLOCK) <= passes
-        return pd.DataFrame({"label": [pdf.label.iloc[0]], "width": [pdf.width.iloc[0]], "n": [n], "passes": [passes], "whole": [whole]})
+        return pd.DataFrame({"label": [pdf.label.iloc[0]], "width": [pdf.width.iloc[0]], "n": [n], "passes": [passes], "whole": [passes > LEAN * plain]})
 
     return written(drawn.groupBy("label", "width").applyInPandas(run, "label string, width int, n long, passes int, whole boolean"), "needs")
 
@@ -150,7 +153,7 @@ def _needs(distinct: DataFrame, threshold: float, window: int, miss: float, seed
 def _wholly(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
     """Edges (src, dst) that span all links among rows (label, width, n, rep, vec) of equal label and width, by blocks."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", own)
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / WHOLE_BLOCK).cast("int")).withColumn("block", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("label", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "vec")
 
@@ -161,52 +164,66 @@ def _wholly(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
         x = np.stack([_unpacked(v, kind) for v in pdf.vec])
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         a, b = (np.flatnonzero(pdf.block == k) for k in (i, j))
-        ids, sets = pdf.rep.to_numpy(), _Sets()
         left, right = np.nonzero(x[a] @ x[b].T >= threshold)
-        edges = [(p, q) for p, q in zip(ids[a[left]].tolist(), ids[b[right]].tolist(), strict=True) if p != q and sets.unite(p, q)]
-        return pd.DataFrame(edges, columns=["src", "dst"])
+        to, ids = roots(len(pdf), a[left], b[right]), pdf.rep.to_numpy()
+        own = np.flatnonzero(to != np.arange(len(to)))
+        return pd.DataFrame({"src": ids[own], "dst": ids[to[own]]})
 
     return rows.groupBy("label", "width", "i", "j").applyInPandas(run, "src long, dst long")
 
 
 def _passes(distinct: DataFrame, threshold: float, window: int, miss: float, seed: int, kind: str) -> DataFrame:
-    """Edges (src, dst) that span what the windows of all passes, or blocks of whole labels, link."""
+    """Edges (src, dst) that span what the windows of each label's passes, or blocks of whole labels, link."""
     spark = distinct.sparkSession
     if distinct.isEmpty():
         return spark.createDataFrame([], "src long, dst long")
     needs = _needs(distinct, threshold, window, miss, seed, kind)
-    sized = distinct.withColumn("width", (F.length("vec") / int(kind[2])).cast("int")).join(small(needs.select("label", "width", "n", "whole"), needs), ["label", "width"], "left")
+    width = (F.length("vec") / int(kind[2])).cast("int")
+    # labels too large to be sure of a drawn row and without one have no needs
+    passes = F.coalesce("passes", F.lit(passes_needed(SAMPLE, threshold, window, miss)))
+    sized = distinct.withColumn("width", width).join(small(needs.select("label", "width", "n", "passes", "whole"), needs), ["label", "width"], "left").withColumn("passes", passes)
     whole = _wholly(sized.where("whole"), threshold, kind)
-    top = needs.where("not whole").agg(F.max("passes"), F.sum("n")).first()
-    # labels too small for a drawn row have no needs and go by passes
-    top = (top[0] or passes_needed(SAMPLE, threshold, window, miss), top[1] or 0)
-    return whole.unionByName(_windows(sized.where("not coalesce(whole, false)"), top[0], top[1], threshold, window, seed, kind))
+    sized = sized.where("not coalesce(whole, false)")
+    top = written(sized.groupBy("passes").agg(F.count("*").alias("n")), "passes").agg(F.max("passes").alias("most"), F.sum(F.col("n") * F.col("passes")).alias("rows")).first()
+    return whole.unionByName(_windows(sized, top.most or 1, top.rows or 0, threshold, window, seed, kind))
 
 
-def _windows(distinct: DataFrame, passes: int, n: int, threshold: float, window: int, seed: int, kind: str) -> DataFrame:
-    """Edges (src, dst) that span what the windows of all passes over n vectors link."""
+def _windows(distinct: DataFrame, most: int, rows: int, threshold: float, window: int, seed: int, kind: str) -> DataFrame:
+    """Edges (src, dst) that span what windows link; each row has its number of passes, ``most`` at most and ``rows`` in all."""
 
     def keys(batches):
         import pyarrow as pa
 
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
+
+        def drawn(d: int, at: int) -> np.ndarray:
+            """The hyperplanes of TRIALS passes from ``at``, the same for every label and number of passes."""
+            if (d, at) not in planes:
+                if sum(x.nbytes for x in planes.values()) > PLANES_BYTES:
+                    planes.clear()
+                planes[d, at] = np.random.default_rng([seed, d, at]).standard_normal((TRIALS, d, BITS))
+            return planes[d, at]
+
         weigh = np.left_shift(np.int64(1), np.arange(BITS - 1, -1, -1, dtype=np.int64))
         for b in batches:
             raw = [c.as_py() for c in b.column(2)]
-            width = np.array([len(r) // int(kind[2]) for r in raw])
-            key = np.zeros((len(raw), passes), np.int64)
+            width, passes = (b.column(k).to_numpy() for k in (3, 4))
+            key = [[] for _ in raw]
             for d in np.unique(width):  # vectors of other lengths are never alike
-                rows = np.flatnonzero(width == d)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), passes * BITS))
-                x = np.stack([_unpacked(raw[i], kind) for i in rows])
-                key[rows] = ((x @ planes[d]) > 0).reshape(len(rows), passes, BITS) @ weigh
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(width.astype("i4")), pa.array(list(key), pa.list_(pa.int64()))], ["rep", "label", "vec", "width", "keys"])
-
-    keyed = distinct.select("rep", "label", "vec").mapInArrow(keys, "rep long, label string, vec binary, width int, keys array<long>")
+                for at in range(0, most, TRIALS):
+                    own = np.flatnonzero((width == d) & (passes > at))
+                    for some in np.array_split(own, -(-len(own) // SAMPLE)) if len(own) else []:
+                        x = np.stack([_unpacked(raw[i], kind) for i in some])
+                        for p in range(at, min(at + TRIALS, most)):
+                            for i, k in zip(some.tolist(), (((x @ drawn(int(d), at)[p - at]) > 0) @ weigh).tolist(), strict=True):
+                                if p < passes[i]:
+                                    key[i].append(k)
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(4)] + [pa.array(key, pa.list_(pa.int64()))], ["rep", "label", "vec", "width", "keys"])
+
+    keyed = distinct.select("rep", "label", "vec", "width", "passes").mapInArrow(keys, "rep long, label string, vec binary, width int, keys array<long>")
     laid = keyed.select("rep", "label", "width", "vec", F.posexplode("keys").alias("pass", "key"))
     order = ["pass", "label", "width", "key", "rep"]
-    laid = laid.repartitionByRange(max(1, n * passes // PARTITION_ROWS), *order).sortWithinPartitions(*order)
+    laid = laid.repartitionByRange(max(1, rows // PARTITION_ROWS), *order).sortWithinPartitions(*order)
 
     def compare(rows: list[tuple], sets: _Sets, split: int | None = None) -> list[tuple[int, int]]:
         """Edges between neighbours; split: only between rows before and from there."""
