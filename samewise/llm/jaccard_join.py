@@ -10,6 +10,9 @@ spread over the cluster by shingle; each of its tasks counts the lists that two
 then is searched with its query's whole set, whose shingles' inverted lists over the candidates are divided: a heap merges
 the short ones, and candidates that can still reach T are probed for in the long ones by binary search.
 
+Near copies are found before that, as far as that is cheap: bands of least hashes name groups of sets, and each set is searched with
+the first of its groups. Pairs that are known to be of one class by then are not made again; the classes need no more links inside them.
+
 Short lists of over ``PAIRED`` documents are not paired at once, nor counted. Their members are first tested against one of
 them; then some of those outside the largest class of a list are tested against its other classes, more of them in
 each of several bounded rounds, until every pair of the list is tested or known to be of one class. So a group of thousands of near
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.shingles import fingerprint, halves, shingle_sets
+from samewise.llm.shingles import fingerprint, halves, mixed, shingle_sets
 from samewise.operators.components import components
 from samewise.operators.shared import arrow_rows, dropped, small, written
 
@@ -46,6 +49,8 @@ UNIT = 1 << 19
 REMEMBERED = 1 << 20
 #: Words of 64 bits in the bitmap of a set.
 BITMAP_WORDS = 8
+#: Bands of least hashes of a set, and bins of each.
+BANDS, BINS = 8, 4
 
 
 def overlap_needed(n: int, m, hundredths: int = HUNDREDTHS):
@@ -122,15 +127,27 @@ def _sketch(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.frexp(v.astype(float))[1].astype("u1").tobytes()], pa.binary())], ["part", "magnitudes"])
 
     counted = docs.select("text").mapInArrow(count, "part int, counts binary")
-    rows = counted.repartition(parts, "part").mapInArrow(add, "part int, magnitudes binary").collect()  # a fixed number of bytes
+    summed = written(counted.repartition(parts, "part").mapInArrow(add, "part int, magnitudes binary"), "sketch")
+    rows = summed.collect()  # a fixed number of bytes
+    dropped(summed)
     out = np.zeros((parts, cells // parts), np.uint8)
     for r in rows:
         out[r.part] = np.frombuffer(r.magnitudes, "u1")
     return out.ravel()
 
 
+def banded(hashes: np.ndarray) -> np.ndarray:
+    """Signed numbers, one for each band that has any of the sorted hashes: sets alike are likely to have one in common."""
+    least = np.zeros(BANDS * BINS, np.uint64)
+    of, at = np.unique((hashes % np.uint64(len(least))).astype(np.int64), return_index=True)
+    least[of] = hashes[at]
+    least = least.reshape(BANDS, BINS)
+    turned = mixed(least + np.arange(1, BINS + 1, dtype=np.uint64)).sum(1) + np.arange(BANDS, dtype=np.uint64)
+    return mixed(turned)[least.any(1)].view("<i8")
+
+
 def _signed(docs: DataFrame, taken: frozenset) -> DataFrame:
-    """(doc_id, n_shingles, sig, check) for every document."""
+    """(doc_id, n_shingles, sig, check, bands) for every document."""
 
     def run(batches):
         import pyarrow as pa
@@ -139,9 +156,9 @@ def _signed(docs: DataFrame, taken: frozenset) -> DataFrame:
             sets = list(shingle_sets(b.column(1)))
             both = [halves(s) for s in sets]
             sig = [y if x in taken else x for x, y in both]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array([x ^ y for x, y in both], pa.int64())], ["doc_id", "n_shingles", "sig", "check"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.int64()), pa.array([x ^ y for x, y in both], pa.int64()), pa.array([banded(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "check", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, check long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig long, check long, bands array<long>")
 
 
 def _told_apart(docs: DataFrame) -> tuple[DataFrame, frozenset]:
@@ -160,10 +177,13 @@ def _told_apart(docs: DataFrame) -> tuple[DataFrame, frozenset]:
 
 
 def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredths: int, taken: frozenset) -> DataFrame:
-    """(bucket, payload): the postings of the short lists, a payload for each bucket and unit of documents."""
+    """(bucket, payload): the postings of the short lists of docs (text, sig, class), a payload for each bucket and unit of documents.
+
+    class: a class that the set ``sig`` is known to be of, or null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(magnitudes)
 
-    def unit(sigs: list, sizes: list, prefixes: list):
+    def unit(sigs: list, classes: list, sizes: list, prefixes: list):
         import pyarrow as pa
 
         hashes = np.concatenate(prefixes)
@@ -171,7 +191,7 @@ def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredt
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         hashes, docs_, bucket = hashes[order], docs_[order], bucket[order]
-        sig, size = np.array(sigs, "<i8"), np.array(sizes, "<u4")
+        sig, kin, size = np.array(sigs, "<i8"), np.array(classes, "<i8"), np.array(sizes, "<u4")
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
         names, cells = [], []
         for i, j in zip(edges[:-1], edges[1:], strict=True):
@@ -180,59 +200,65 @@ def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredt
             d = own[head]
             many = np.diff(np.concatenate([head, [j - i]])).astype("<u4")
             names.append(int(bucket[i]))
-            cells.append(np.array([len(d)], "<u8").tobytes() + sig[d].tobytes() + size[d].tobytes() + many.tobytes() + hashes[i:j].astype("<u8").tobytes())
+            cells.append(np.array([len(d)], "<u8").tobytes() + sig[d].tobytes() + kin[d].tobytes() + size[d].tobytes() + many.tobytes() + hashes[i:j].astype("<u8").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(cells, pa.binary())], ["bucket", "payload"])
 
     def run(batches):
         kind = shared.value
         seen: set[int] = set()
-        sigs, sizes, prefixes, held = [], [], [], 0
+        sigs, classes, sizes, prefixes, held = [], [], [], [], 0
         for b in batches:
-            for s in shingle_sets(b.column(0)):
+            for s, own, kin in zip(shingle_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if not len(s) or (sig := fingerprint(s, taken)) in seen:
                     continue
                 seen.add(sig)
                 keep = len(s) - -(-hundredths * len(s) // 100) + 1
                 rare = np.argsort(kind[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]
                 sigs.append(sig)
+                classes.append(kin if sig == own else sig)
                 sizes.append(len(s))
                 prefixes.append(s[rare])
                 held += keep
             if held >= UNIT:
-                yield unit(sigs, sizes, prefixes)
-                sigs, sizes, prefixes, held = [], [], [], 0
+                yield unit(sigs, classes, sizes, prefixes)
+                sigs, classes, sizes, prefixes, held = [], [], [], [], 0
                 if len(seen) >= REMEMBERED:
                     seen = set()
         if held:
-            yield unit(sigs, sizes, prefixes)
+            yield unit(sigs, classes, sizes, prefixes)
 
-    return docs.select("text").mapInArrow(run, "bucket int, payload binary")
+    return docs.select("text", "sig", "class").mapInArrow(run, "bucket int, payload binary")
 
 
 def _merge_lists(hundredths: int):
-    """The function of the index's tasks: pairs of short lists, and the members of lists too long for it."""
+    """The function of the index's tasks: pairs of short lists of sets not known to be of one class, and the members of lists too long for it."""
 
     def lists(payloads: list[bytes]):
-        sig, size, key = [], [], []
+        sig, kin, size, key = [], [], [], []
         for p in payloads:
             d = int(np.frombuffer(p, "<u8", 1)[0])
-            many = np.frombuffer(p, "<u4", d, 8 + 12 * d)
+            many = np.frombuffer(p, "<u4", d, 8 + 20 * d)
             sig.append(np.repeat(np.frombuffer(p, "<i8", d, 8), many))
-            size.append(np.repeat(np.frombuffer(p, "<u4", d, 8 + 8 * d), many))
-            key.append(np.frombuffer(p, "<u8", -1, 8 + 16 * d))
-        sig, size, key = np.concatenate(sig), np.concatenate(size).astype(np.int64), np.concatenate(key)
+            kin.append(np.repeat(np.frombuffer(p, "<i8", d, 8 + 8 * d), many))
+            size.append(np.repeat(np.frombuffer(p, "<u4", d, 8 + 16 * d), many))
+            key.append(np.frombuffer(p, "<u8", -1, 8 + 24 * d))
+        sig, kin, size, key = np.concatenate(sig), np.concatenate(kin), np.concatenate(size).astype(np.int64), np.concatenate(key)
         order = np.argsort(key, kind="stable")
         sk = key[order]
         twin = np.zeros(len(sk), bool)
         twin[1:] = sk[1:] == sk[:-1]
         twin[:-1] |= twin[1:].copy()
         order = order[twin]
-        sig, size, key = sig[order], size[order], key[order]
-        order = np.lexsort((sig, size, key))
-        sig, size, key = sig[order], size[order], key[order]
+        order = order[np.lexsort((sig[order], size[order], key[order]))]
+        sig, kin, size, key = sig[order], kin[order], size[order], key[order]
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-        return sig[fresh], size[fresh], key[fresh]
+        sig, kin, size, key = sig[fresh], kin[fresh], size[fresh], key[fresh]
+        if not len(key):
+            return sig, kin, size, key
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        apart = np.repeat(np.minimum.reduceat(kin, edge) != np.maximum.reduceat(kin, edge), np.diff(np.append(edge, len(key))))
+        return sig[apart], kin[apart], size[apart], key[apart]
 
     def out(key, a, b, size, need):
         import pyarrow as pa
@@ -242,7 +268,7 @@ def _merge_lists(hundredths: int):
         return pa.RecordBatch.from_arrays(cols, ["list", "a", "b", "size", "need"])
 
     def merge(payloads):
-        sig, size, key = lists(payloads)
+        sig, kin, size, key = lists(payloads)
         if not len(sig):
             return
         edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -250,10 +276,10 @@ def _merge_lists(hundredths: int):
         big = many > PAIRED
         if big.any():
             yield out(key[big], sig[big], None, size[big], None)
-        sig, size, key = sig[~big], size[~big], key[~big]
+        sig, kin, size, key = sig[~big], kin[~big], size[~big], key[~big]
         found = []
         for d in range(1, min(PAIRED, len(sig))):
-            hit = np.flatnonzero((key[d:] == key[:-d]) & (100 * size[:-d] >= hundredths * size[d:]))
+            hit = np.flatnonzero((key[d:] == key[:-d]) & (kin[d:] != kin[:-d]) & (100 * size[:-d] >= hundredths * size[d:]))
             if len(hit):
                 x, y = sig[hit], sig[hit + d]
                 n, m = size[hit], size[hit + d]  # n <= m
@@ -415,6 +441,15 @@ def _long_lists(big: DataFrame, links: DataFrame, sets: DataFrame, hundredths: i
         members = facts.join(opened(still.join(small(drawn), ["list", "sig"], "left_anti")), "sig")
 
 
+def _banded_pairs(signed: DataFrame, hundredths: int) -> DataFrame:
+    """The pairs (a, b) of a set and the first one of each band that it has in common with others, of sizes that can be similar enough."""
+    rows = signed.where("n_shingles > 0").select("sig", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    first = F.min(F.struct("sig", "size")).alias("first")
+    heads = written(rows.groupBy("band").agg(first, F.max("sig").alias("last")).where("first.sig < last").select("band", "first"), "heads")
+    fits = f"sig <> first.sig and 100 * least(size, first.size) >= {hundredths} * greatest(size, first.size)"
+    return rows.join(small(heads), "band").where(fits).select(F.col("first.sig").alias("a"), F.col("sig").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hundredths: int = HUNDREDTHS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id: the smallest id reachable by links.
 
@@ -428,19 +463,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     signed, taken = _told_apart(docs)
     groups = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        ids = written(groups.join(sigs, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
+        return written(_sets(docs, small(ids), taken), "sets")
+
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+
+    # near copies that share a band
+    pairs = written(_banded_pairs(signed, hundredths), "pairs")
+    copies = sets_of(both_ends(pairs))
+    c = written(components(written(_search(pairs, copies, hundredths), "links")), "classes")
+    near = c.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    known = signed.where("doc_id is not null").join(small(c), signed.sig == c.node).groupBy("doc_id").agg(F.min(F.struct("sig", F.col("component").alias("class"))).alias("own"))
+    known = written(known.select("doc_id", "own.sig", "own.class"), "known")
+    # and what the index finds between their classes
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    postings = _short_lists(docs, _sketch(docs), buckets, hundredths, taken).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    postings = _short_lists(docs.join(small(known), "doc_id", "left"), _sketch(docs), buckets, hundredths, taken).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
     shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
     big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
     in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists"), F.collect_list("list").alias("ids"), F.min("size").alias("size")), "in_big")
     both = [small(in_big.select(F.col("sig").alias(x), F.col("ids").alias(f"{x}_ids")), in_big) for x in ("a", "b")]
     shared = shared.where("size >= need").union(shared.where("size < need").join(both[0], "a").join(both[1], "b").where("`size` + size(array_intersect(a_ids, b_ids)) >= need").select("a", "b", "size", "need"))
+    dropped(pairs)
     pairs = written(shared.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(in_big.select("sig")).distinct()
-    ids = written(groups.join(wanted, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
-    sets = written(_sets(docs, small(ids), taken), "sets")
-    links = written(_search(pairs, sets, hundredths), "links")
+    dropped(found)
+    have = copies.select("sig")
+    sets = copies.unionByName(sets_of(both_ends(pairs).union(in_big.select("sig")).distinct().join(have, "sig", "left_anti")))
+    links = near.unionByName(written(_search(pairs, sets, hundredths), "links"))
     if not in_big.isEmpty():
         bits = written(_bitmaps(sets), "bitmaps")
         links = _long_lists(in_big.join(small(bits), "sig"), links, sets, hundredths)

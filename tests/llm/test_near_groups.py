@@ -1,0 +1,44 @@
+"""Groups of near copies: found by bands first, so that the index makes no pairs inside them."""
+
+import random
+
+import numpy as np
+
+from samewise.llm import jaccard_join
+from samewise.llm.shingles import shingle_sets
+
+
+def near_groups(groups=4, size=30, words=300):
+    r = random.Random(7)
+    rows = []
+    for _ in range(groups):
+        base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+        for _ in range(size):
+            own = list(base)
+            own[r.randrange(words)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows + [(1000 + i, " ".join(f"y{r.randrange(10**6)}" for _ in range(50))) for i in range(30)]
+
+
+def test_pairs_of_near_copies_are_not_made_again(spark, monkeypatch):
+    made, write = {}, jaccard_join.written
+
+    def noted(df, name="table"):
+        out = write(df, name)
+        if name == "found":
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", noted)
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_classes(spark.createDataFrame(near_groups(), "doc_id long, text string")).collect()}
+    assert got == {i: i // 30 * 30 if i < 120 else i for i, _ in near_groups()}
+    assert made["found"] < 120  # all pairs of the groups are 1740, in each bucket
+
+
+def test_bands_of_sets():
+    import pyarrow as pa
+
+    sets = list(shingle_sets(pa.array([t for _, t in near_groups(1, 2)] + ["a b", "", None])))
+    bands = [jaccard_join.banded(s) for s in sets]
+    assert len(np.intersect1d(bands[0], bands[1])) >= 4 and not len(np.intersect1d(bands[0], bands[2]))
+    assert [len(b) for b in bands[-3:]] == [1, 0, 0] and all(len(np.unique(b)) == len(b) for b in bands)
