@@ -474,7 +474,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # near copies that share a band
     pairs = written(_banded_pairs(signed, hundredths), "pairs")
     copies = sets_of(both_ends(pairs))
-    c = written(components(written(_search(pairs, copies, hundredths), "links")), "classes")
+    linked = written(_search(pairs, copies, hundredths), "links")
+    for table in (pairs, copies):  # sets are made again rather than kept beside the index
+        dropped(table)
+    c = written(components(linked), "classes")
     near = c.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     known = signed.where("doc_id is not null").join(small(c), signed.sig == c.node).groupBy("doc_id").agg(F.min(F.struct("sig", F.col("component").alias("class"))).alias("own"))
     known = written(known.select("doc_id", "own.sig", "own.class"), "known")
@@ -487,17 +490,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists"), F.collect_list("list").alias("ids"), F.min("size").alias("size")), "in_big")
     both = [small(in_big.select(F.col("sig").alias(x), F.col("ids").alias(f"{x}_ids")), in_big) for x in ("a", "b")]
     shared = shared.where("size >= need").union(shared.where("size < need").join(both[0], "a").join(both[1], "b").where("`size` + size(array_intersect(a_ids, b_ids)) >= need").select("a", "b", "size", "need"))
-    dropped(pairs)
     pairs = written(shared.select("a", "b"), "pairs")
     dropped(found)
-    have = copies.select("sig")
-    sets = copies.unionByName(sets_of(both_ends(pairs).union(in_big.select("sig")).distinct().join(have, "sig", "left_anti")))
+    sets = sets_of(both_ends(pairs).union(in_big.select("sig")).distinct())
     links = near.unionByName(written(_search(pairs, sets, hundredths), "links"))
+    done = [sets]
     if not in_big.isEmpty():
         bits = written(_bitmaps(sets), "bitmaps")
         links = _long_lists(in_big.join(small(bits), "sig"), links, sets, hundredths)
+        done.append(bits)
     joined = components(links).withColumnRenamed("node", "sig")
     known = written(groups.join(joined, "sig", "left").where("copies > 1 or component is not null").select("sig", "rep", F.coalesce("component", "sig").alias("component")), "classes")
+    for table in done:
+        dropped(table)
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     table = written(known.join(least, "component").select("sig", "component_id"), "classes")
     rows = signed.join(small(table), "sig", "left")
