@@ -6,8 +6,11 @@ shingles, so they share one among the n - ceil(t * n) + 1 rarest of either: with
 inverted lists set aside, one occurrence in the short lists makes a candidate. More precisely, all they share
 among those is what they share beyond the ceil(t * max(n, m)) - 1 others, so the number of short lists a pair
 is in has to reach T less that; for sets of about one size this is a tenth of the set. The inverted index of the short lists is
-spread over the cluster by shingle; each of its tasks counts the lists that two documents share, and the counts are summed. A candidate
-then is searched with its query's whole set, whose shingles' inverted lists over the candidates are divided: a heap merges
+spread over the cluster by shingle; each of its tasks collapses the lists of the same members into one row with their number. These rows
+meet by their least member, where the lists that two documents share are counted, and the counts are summed: lists of one group of
+documents have few different least members, so a pair is counted in few places, however many lists it shares. A candidate is held
+against its query by bitmaps of a few bits a shingle first; if those don't rule it out, it is searched with its query's
+whole set, whose shingles' inverted lists over the candidates are divided: a heap merges
 the short ones, and candidates that can still reach T are probed for in the long ones by binary search.
 
 Short lists of over ``PAIRED`` documents are not paired at once, nor counted. Their members are first tested against one of
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.shingles import fingerprint, halves, shingle_sets
+from samewise.llm.shingles import fingerprint, halves, mixed, shingle_sets
 from samewise.operators.components import components
 from samewise.operators.shared import arrow_rows, dropped, small, written
 
@@ -46,6 +49,10 @@ UNIT = 1 << 19
 REMEMBERED = 1 << 20
 #: Words of 64 bits in the bitmap of a set.
 BITMAP_WORDS = 8
+#: Bits of an outline for each shingle, at least.
+OUTLINE_BITS = 4
+#: Pairs of members that a task counts at once, beyond one batch.
+COUNTED = 1 << 20
 
 
 def overlap_needed(n: int, m, hundredths: int = HUNDREDTHS):
@@ -210,7 +217,7 @@ def _short_lists(docs: DataFrame, magnitudes: np.ndarray, buckets: int, hundredt
 
 
 def _merge_lists(hundredths: int):
-    """The function of the index's tasks: pairs of short lists, and the members of lists too long for it."""
+    """The function of the index's tasks: the members of short lists, a row for lists of the same ones, and the members of lists too long for it."""
 
     def lists(payloads: list[bytes]):
         sig, size, key = [], [], []
@@ -234,39 +241,41 @@ def _merge_lists(hundredths: int):
         fresh[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
         return sig[fresh], size[fresh], key[fresh]
 
-    def out(key, a, b, size, need):
+    def merge(payloads):
         import pyarrow as pa
 
-        n = len(a)
-        cols = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view("<i8") if x.dtype == np.uint64 else x.astype("<i8")) for x in (key, a, b, size, need)]
-        return pa.RecordBatch.from_arrays(cols, ["list", "a", "b", "size", "need"])
-
-    def merge(payloads):
         sig, size, key = lists(payloads)
         if not len(sig):
             return
-        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        many = np.repeat(np.diff(edge), np.diff(edge))
-        big = many > PAIRED
+        # members of a list on two sides of a gap that no link spans are in lists of their own
+        cut = np.ones(len(key), bool)
+        cut[1:] = (key[1:] != key[:-1]) | (100 * size[:-1] < hundredths * size[1:])
+        edge = np.flatnonzero(cut)
+        many = np.diff(np.append(edge, len(key)))
+        names = ["list", "sig", "size", "members", "sizes", "lists"]
+        big = np.repeat(many > PAIRED, many)
         if big.any():
-            yield out(key[big], sig[big], None, size[big], None)
-        sig, size, key = sig[~big], size[~big], key[~big]
-        found = []
-        for d in range(1, min(PAIRED, len(sig))):
-            hit = np.flatnonzero((key[d:] == key[:-d]) & (100 * size[:-d] >= hundredths * size[d:]))
-            if len(hit):
-                x, y = sig[hit], sig[hit + d]
-                n, m = size[hit], size[hit + d]  # n <= m
-                need = overlap_needed(n, m, hundredths) - (-(-hundredths * m // 100) - 1)
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), need], 1))
-        if found:
-            pairs = np.concatenate(found)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            new = np.ones(len(pairs), bool)
-            new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
-            head = np.flatnonzero(new)
-            shared = np.diff(np.concatenate([head, [len(pairs)]]))
-            yield out(None, pairs[head, 0], pairs[head, 1], shared, pairs[head, 2])
+            none, n = pa.nulls(int(big.sum()), pa.list_(pa.int64())), pa.nulls(int(big.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key[big].view("<i8")), pa.array(sig[big]), pa.array(size[big]), none, none, n], names)
+        short = (many > 1) & (many <= PAIRED)
+        if not short.any():
+            return
+        own = np.repeat(short, many)
+        sig, size, many = sig[own], size[own], many[short]
+        edge = np.cumsum(many) - many
+        # lists of the same members, told apart by 128 bits, are one row
+        turned = mixed(sig.view("<u8"))
+        one, two = np.add.reduceat(turned, edge), np.add.reduceat(mixed(turned + np.uint64(1)), edge)
+        order = np.lexsort((two, one, many))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(many[order]) != 0) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        head = order[new]
+        alike = np.diff(np.append(np.flatnonzero(new), len(order)))
+        ends = np.concatenate([[0], np.cumsum(many[head])])
+        at = np.repeat(edge[head] - ends[:-1], many[head]) + np.arange(ends[-1])
+        rows = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[at], pa.int64())) for x in (sig, size)]
+        none = pa.nulls(len(head), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(np.minimum.reduceat(sig, edge)[head]), none, *rows, pa.array(alike, pa.int64())], names)
 
     def run(batches):
         now, held = None, []
@@ -283,23 +292,95 @@ def _merge_lists(hundredths: int):
     return run
 
 
-def _sets(docs: DataFrame, ids: DataFrame, taken: frozenset) -> DataFrame:
-    """(sig, shingles) for the documents in ``ids`` (doc_id): the sorted hashes as bytes."""
+def _count_pairs(hundredths: int):
+    """The function that counts, over rows (members, sizes, lists) in ascending order of size, the lists that two sets share, with how many they need."""
+
+    def count(many, lists, sig, size):
+        import pyarrow as pa
+
+        of, weight = np.repeat(np.arange(len(many)), many), np.repeat(lists, many)
+        found = []
+        for d in range(1, int(many.max())):
+            hit = np.flatnonzero((of[d:] == of[:-d]) & (100 * size[:-d] >= hundredths * size[d:]))
+            if len(hit):
+                x, y = sig[hit], sig[hit + d]
+                n, m = size[hit], size[hit + d]  # n <= m
+                need = overlap_needed(n, m, hundredths) - (-(-hundredths * m // 100) - 1)
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), weight[hit], need], 1))
+        pairs = np.concatenate(found)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
+        head = np.flatnonzero(new)
+        cols = [pairs[head, 0], pairs[head, 1], np.add.reduceat(pairs[:, 2], head), pairs[head, 3]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], ["a", "b", "size", "need"])
+
+    def run(batches):
+        held, pairs = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            many = np.diff(b.column(0).offsets.to_numpy())
+            held.append((many, b.column(2).to_numpy(), b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()))
+            pairs += int((many.astype(np.int64) * (many - 1) // 2).sum())
+            if pairs >= COUNTED:
+                yield count(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, pairs = [], 0
+        if held:
+            yield count(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _sets(docs: DataFrame, ids: DataFrame, taken: frozenset, pack=np.ndarray.tobytes) -> DataFrame:
+    """(sig, shingles) for the documents in ``ids`` (doc_id): the sorted hashes as bytes, or what ``pack`` makes of them."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             sets = list(shingle_sets(b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s, taken) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s, taken) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["sig", "shingles"])
 
     return docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, "sig long, shingles binary")
 
 
+def _parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits in bytes; a bit is set if an odd number of the hashes fall on it."""
+    return np.packbits((np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype("u1"), bitorder="little")
+
+
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """BITMAP_WORDS signed words; a bit is set if an odd number of the hashes fall on it."""
-    bits = np.bincount((hashes % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(bits.astype("u1"), bitorder="little").view("<i8")
+    """BITMAP_WORDS signed words of parities of the hashes."""
+    return _parities(hashes, 64 * BITMAP_WORDS).view("<i8")
+
+
+def outline(hashes: np.ndarray) -> bytes:
+    """The number of the hashes and their parities in a power of two of bits, OUTLINE_BITS or more for each hash."""
+    return np.uint64(len(hashes)).tobytes() + _parities(hashes, 1 << max(6, (OUTLINE_BITS * len(hashes) - 1).bit_length())).tobytes()
+
+
+def _halved(bits: np.ndarray, to: int) -> np.ndarray:
+    """Parities in the fewer bits of ``to`` bytes."""
+    while len(bits) > to:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def may_link(query: bytes, candidates: list[bytes], hundredths: int = HUNDREDTHS) -> list[int]:
+    """The places of the candidates whose outlines don't rule out that their sets are similar enough to the query's."""
+    n, own, out = int(np.frombuffer(query, "<u8", 1)[0]), np.frombuffer(query, "u1", -1, 8), []
+    for i, c in enumerate(candidates):
+        m, other = int(np.frombuffer(c, "<u8", 1)[0]), np.frombuffer(c, "u1", -1, 8)
+        to = min(len(own), len(other))
+        # each shingle that only one set has turns one bit
+        if int(np.bitwise_count(_halved(own, to) ^ _halved(other, to)).sum()) <= n + m - 2 * overlap_needed(n, m, hundredths):
+            out.append(i)
+    return out
+
+
+def _similar(query: bytes, candidates: list[bytes], hundredths: int) -> list[int]:
+    return divide_skip(np.frombuffer(query, "<u8"), [np.frombuffer(c, "<u8") for c in candidates], hundredths)
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
@@ -317,14 +398,14 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     return wide.select("sig", F.struct(*names).alias("bits"))
 
 
-def _search(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. A query goes with up to about CHUNK candidates to a task."""
+def _search(pairs: DataFrame, sets: DataFrame, hundredths: int, test=_similar) -> DataFrame:
+    """The pairs (a, b) of a written table whose sets pass the test. A query goes with up to about CHUNK candidates to a task."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunked = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    members = chunked.join(sets, chunked.b == sets.sig).select("a", "chunk", "b", "shingles")
+    members = sets.join(small(chunked, pairs), F.col("b") == sets.sig).select("a", "chunk", "b", "shingles")
     # a chunk that no candidate fell to has its query only, and finds nothing
     heads = many.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    heads = heads.join(sets, heads.a == sets.sig).select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
+    heads = sets.join(small(heads, pairs), F.col("a") == sets.sig).select("a", "chunk", F.lit(None).cast("long").alias("b"), "shingles")
     rows = members.unionByName(heads).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -333,7 +414,8 @@ def _search(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
         key, query, names, sets_ = None, None, [], []
 
         def close():
-            hits = [names[i] for i in divide_skip(query, sets_, hundredths)]
+            # only a text that has no id but null isn't there
+            hits = [names[i] for i in test(query, sets_, hundredths)] if query is not None else []
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["src", "dst"])
 
         for batch in batches:
@@ -342,12 +424,11 @@ def _search(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
                     if names:
                         yield close()
                     key, query, names, sets_ = (a, chunk), None, [], []
-                have = np.frombuffer(x.as_py(), "<u8")
                 if b is None:
-                    query = have
+                    query = x.as_py()
                 else:
                     names.append(b)
-                    sets_.append(have)
+                    sets_.append(x.as_py())
         if names:
             yield close()
 
@@ -430,21 +511,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     postings = _short_lists(docs, _sketch(docs), buckets, hundredths, taken).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, a long, b long, size long, need long"), "found")
-    shared = found.where("list is null").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
-    big = found.where("list is not null").select("list", F.col("a").alias("sig"), "size")
+    found = written(postings.mapInArrow(_merge_lists(hundredths), "list long, sig long, size long, members array<long>, sizes array<long>, lists long"), "found")
+    big = found.where("list is not null").select("list", "sig", "size")
     in_big = written(big.groupBy("sig").agg(F.count("*").alias("lists"), F.collect_list("list").alias("ids"), F.min("size").alias("size")), "in_big")
+    rows = found.where("list is null").repartition(buckets, "sig").sortWithinPartitions("sig").select("members", "sizes", "lists")
+    counted = written(rows.mapInArrow(_count_pairs(hundredths), "a long, b long, size long, need long"), "counted")
+    shared = counted.groupBy("a", "b").agg(F.sum("size").alias("size"), F.max("need").alias("need"))
     both = [small(in_big.select(F.col("sig").alias(x), F.col("ids").alias(f"{x}_ids")), in_big) for x in ("a", "b")]
     shared = shared.where("size >= need").union(shared.where("size < need").join(both[0], "a").join(both[1], "b").where("`size` + size(array_intersect(a_ids, b_ids)) >= need").select("a", "b", "size", "need"))
     pairs = written(shared.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(in_big.select("sig")).distinct()
-    ids = written(groups.join(wanted, "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
-    sets = written(_sets(docs, small(ids), taken), "sets")
-    links = written(_search(pairs, sets, hundredths), "links")
+
+    def fetched(sigs: DataFrame, of: DataFrame, name: str, **how) -> DataFrame:
+        ids = written(groups.join(small(sigs, of), "sig", "left_semi").where("rep is not null").select(F.col("rep").alias("doc_id")), "wanted")
+        return written(_sets(docs, small(ids), taken, **how), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+
+    outlines = fetched(ends(pairs), pairs, "outlines", pack=outline)
+    likely = written(_search(pairs, outlines, hundredths, may_link).toDF("a", "b"), "likely")
+    for table in (found, counted, pairs, outlines):
+        dropped(table)
+    wanted = written(ends(likely).union(in_big.select("sig")).distinct(), "wanted")
+    sets = fetched(wanted, wanted, "sets")
+    links = written(_search(likely, sets, hundredths), "links")
     if not in_big.isEmpty():
         bits = written(_bitmaps(sets), "bitmaps")
         links = _long_lists(in_big.join(small(bits), "sig"), links, sets, hundredths)
     joined = components(links).withColumnRenamed("node", "sig")
+    for table in (likely, sets, links):
+        dropped(table)
     known = written(groups.join(joined, "sig", "left").where("copies > 1 or component is not null").select("sig", "rep", F.coalesce("component", "sig").alias("component")), "classes")
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     table = written(known.join(least, "component").select("sig", "component_id"), "classes")
